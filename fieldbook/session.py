@@ -36,7 +36,10 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        # spark.checkpoint.dir names a folder every node sees; without it this is a one-machine run.
-        folder = spark.conf.get(CHECKPOINT_SETTING, None) or tempfile.mkdtemp(prefix="fieldbook-")
+        folder = spark.conf.get(CHECKPOINT_SETTING, None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all nodes share")
+            folder = tempfile.mkdtemp(prefix="fieldbook-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
