@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from fieldbook.catalog import history  # noqa: F401
+from fieldbook.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -27,19 +27,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all nodes see, named by the cluster; a temporary one only on a single machine."""
+    known = spark.conf.get(CHECKPOINT_SETTING, None)
+    if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all nodes share")
+        known = tempfile.mkdtemp(prefix="fieldbook-")
+        spark.conf.set(CHECKPOINT_SETTING, known)
+    return known
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there.
+    """Write ``df`` once to the shared folder and go on from there.
 
     Used where a frame feeds several scans (model folds, sampled cut points), so that losing an
     executor re-reads files instead of recomputing the whole lineage.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_SETTING, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all nodes share")
-            folder = tempfile.mkdtemp(prefix="fieldbook-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
