@@ -121,7 +121,7 @@ def momentum(spark: SparkSession, folder: str) -> DataFrame:
     return round_all(df.withColumns(momenta), list(momenta)).select("player", "k", *momenta)
 
 
-@query(f"WITH {PANEL_SQL} SELECT player, k, sum(CASE WHEN position <> -1 THEN 1.0 ELSE 0.0 END)::DOUBLE {_incl(5)} AS cuts_5 FROM panel".replace("::DOUBLE", ""))
+@query(f"WITH {PANEL_SQL} SELECT player, k, CAST(sum(CASE WHEN position <> -1 THEN 1 ELSE 0 END) {_incl(5)} AS DOUBLE) AS cuts_5 FROM panel")
 def cut_count_5(spark: SparkSession, folder: str) -> DataFrame:
     made = (F.col("position") != -1).cast("double")
     return h.add_history(panel(spark, folder), ENTITY, ORDER, [h.rolling_sum("cuts_5", made, 5)]).select("player", "k", "cuts_5")
@@ -167,7 +167,7 @@ _HALVES_SQL = """halves AS (SELECT *,
 @query(
     f"""WITH {ROUNDS_SQL}, {_HALVES_SQL}
 SELECT player, k, round(avg(early) {_AHEAD}, 5) AS early_3, round(avg(late) {_AHEAD}, 5) AS late_3,
-       round(avg(late) {_AHEAD} - avg(early) {_AHEAD}, 5) AS progression,
+       round(avg(late) {_AHEAD} - avg(early) {_AHEAD}, 5) + 0.0 AS progression,
        {", ".join(f"round(lag(r{i}) {W}, 5) AS prior_r{i}" for i in range(1, 5))} FROM halves"""
 )
 def round_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,7 +183,7 @@ def round_features(spark: SparkSession, folder: str) -> DataFrame:
     return round_all(df, names, 5).select("player", "k", *names)
 
 
-@query(f"WITH {PANEL_SQL}, {_TREND_SQL} SELECT p.player, p.k, round(trend, 6) AS trend FROM panel p JOIN trends USING (player)")
+@query(f"WITH {PANEL_SQL}, {_TREND_SQL} SELECT p.player, p.k, round(trend, 6) + 0.0 AS trend FROM panel p JOIN trends USING (player)")
 def closing_trend(spark: SparkSession, folder: str) -> DataFrame:
     df = h.add_history(panel(spark, folder), ENTITY, ORDER, [h.ClosingTrend("trend", "position")])
     return round_all(df, ["trend"]).select("player", "k", "trend")
@@ -191,7 +191,7 @@ def closing_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {PANEL_SQL}, numbered AS (SELECT *, row_number() {W} AS rn FROM panel)
-SELECT player, k, CASE WHEN rn >= 5 THEN round(regr_slope(position, rn) {_incl(5)}, 6) END AS trend FROM numbered"""
+SELECT player, k, CASE WHEN rn >= 5 THEN round(regr_slope(position, rn) {_incl(5)}, 6) + 0.0 END AS trend FROM numbered"""
 )
 def trend_so_far(spark: SparkSession, folder: str) -> DataFrame:
     df = h.add_history(panel(spark, folder), ENTITY, ORDER, [h.trend_so_far("trend", "position")])
