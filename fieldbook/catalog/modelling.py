@@ -17,6 +17,7 @@ from fieldbook.plans import features as feature_plan
 from fieldbook.plans import forecast as forecast_plan
 from fieldbook.plans.results import add_first_history, event_rows
 from fieldbook.schema import FEATURES_A, FEATURES_B
+from fieldbook.session import materialise
 
 # --- feature tables ---------------------------------------------------------------------------
 
@@ -93,7 +94,7 @@ def _filled_sql(column: str) -> str:
 @query(f"WITH {_FEATURES_A_SQL} SELECT player, tournament, year AS season, {', '.join(_filled_sql(c) for c in FEATURES_A)} FROM features")
 def filled_features_a(spark: SparkSession, folder: str) -> DataFrame:
     """Feature table A with gaps filled from the rows outside the upcoming event."""
-    df = feature_plan.fill_a(feature_plan.features_a(results(spark, folder)), event_rows("Event 07", 2001))
+    df = feature_plan.fill_a(materialise(feature_plan.features_a(results(spark, folder))), event_rows("Event 07", 2001))
     return round_all(df, FEATURES_A, 5).select(F.col("Player").alias("player"), F.col("Tournament").alias("tournament"), F.col("Year").alias("season"), *FEATURES_A)
 
 
@@ -113,7 +114,7 @@ features AS (SELECT r.*, Position_Trend, Position_ma_3 - Position_ma_5 AS Positi
 
 @query(f"WITH {_FEATURES_B_SQL} SELECT player, tournament, position, {_shown_sql(FEATURES_B)} FROM features")
 def feature_table_b(spark: SparkSession, folder: str) -> DataFrame:
-    df = feature_plan.features_b(add_first_history(results(spark, folder)))
+    df = feature_plan.features_b(materialise(add_first_history(results(spark, folder))))
     return round_all(df, FEATURES_B, 5).select(F.col("Player").alias("player"), F.col("Tournament").alias("tournament"), F.col("Position").alias("position"), *FEATURES_B)
 
 
@@ -218,7 +219,7 @@ def metric_lines(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.metric_lines(_fold_quality(spark, folder))
 
 
-_JUDGED_SQL = "judged AS (SELECT quality AS y, round(least(n_chars / 2000.0, 1.0), 3) AS p FROM labels JOIN documents USING (doc_id))"
+_JUDGED_SQL = "judged AS (SELECT quality AS y, CAST(least(n_chars, 2000) AS DOUBLE) / 2000 AS p FROM labels JOIN documents USING (doc_id))"
 _CURVE_SQL = f"""{_JUDGED_SQL}, points AS (SELECT p, sum(y) AS hits, count(*) AS rows FROM judged GROUP BY p),
 sums AS (SELECT *, sum(hits) OVER (ORDER BY p DESC) AS tp, sum(rows) OVER (ORDER BY p DESC) AS n, (SELECT sum(y) FROM judged) AS positives FROM points),
 curve AS (SELECT p AS threshold, tp / n AS precision, tp / positives AS recall,
@@ -227,11 +228,11 @@ curve AS (SELECT p AS threshold, tp / n AS precision, tp / positives AS recall,
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "n_chars")
-    score = F.round(F.least(F.col("n_chars") / 2000.0, F.lit(1.0)), 3)
+    score = F.least(F.col("n_chars"), F.lit(2000)) / 2000
     return table(spark, folder, "labels").join(documents, "doc_id").select(F.col("quality").alias("y"), score.alias("p"))
 
 
-@query(f"WITH {_CURVE_SQL} SELECT CAST(threshold AS DOUBLE) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(area, 6) AS area FROM curve")
+@query(f"WITH {_CURVE_SQL} SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(area, 6) AS area FROM curve")
 def pr_curve(spark: SparkSession, folder: str) -> DataFrame:
     return round_all(metrics.pr_curve(_judged(spark, folder), "y", "p"), ["precision", "recall", "area"])
 
@@ -262,12 +263,12 @@ def class_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'intercept' AS feature, round(regr_intercept(l_extendedprice, l_quantity), 3) AS coefficient, true AS significant FROM lineitem
-UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 3), true FROM lineitem"""
+    """SELECT 'intercept' AS feature, round(regr_intercept(l_quantity * 2 + l_discount * 100, l_quantity), 6) AS coefficient, true AS significant FROM lineitem
+UNION ALL SELECT 'l_quantity', round(regr_slope(l_quantity * 2 + l_discount * 100, l_quantity), 6), true FROM lineitem"""
 )
 def least_squares(spark: SparkSession, folder: str) -> DataFrame:
-    df = linear.least_squares(table(spark, folder, "lineitem"), ["l_quantity"], "l_extendedprice")
-    return round_all(df, ["coefficient"], 3).select("feature", "coefficient", "significant")
+    lines = table(spark, folder, "lineitem").withColumn("y", F.col("l_quantity") * 2 + F.col("l_discount") * 100)
+    return round_all(linear.least_squares(lines, ["l_quantity"], "y"), ["coefficient"]).select("feature", "coefficient", "significant")
 
 
 _GRID_SQL = """WITH folded AS (SELECT l_quantity / 50 AS x, l_discount * 100 + l_quantity AS y, l_orderkey % 5 AS fold FROM lineitem),
@@ -296,7 +297,7 @@ def penalty_grids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _features_b(spark: SparkSession, folder: str) -> DataFrame:
-    return feature_plan.features_b(add_first_history(results(spark, folder)))
+    return feature_plan.features_b(materialise(add_first_history(results(spark, folder))))
 
 
 @query()
