@@ -61,7 +61,8 @@ def moments(df: DataFrame, features: Sequence[str], label: str, fold: str | None
             for number, part in batch.groupby("_f"):
                 z = np.column_stack([np.ones(len(part)), part.drop(columns="_f").to_numpy(float)])
                 sums[number] = sums.get(number, 0.0) + z.T @ z
-        yield pd.DataFrame({"_f": list(sums), "products": [s.ravel() for s in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"_f": list(sums), "products": [s.ravel() for s in sums.values()]})
 
     parts = picked.mapInPandas(partial, "_f int, products array<double>")
     cells = parts.select("_f", F.posexplode("products").alias("place", "v")).groupBy("_f", "place").agg(F.sum("v").alias("v"))
