@@ -76,7 +76,7 @@ def _shown_sql(columns: list[str]) -> str:
 
 @query(f"WITH {_FEATURES_A_SQL} SELECT player, tournament, year AS season, np, {_shown_sql(FEATURES_A)} FROM features")
 def feature_table_a(spark: SparkSession, folder: str) -> DataFrame:
-    df = feature_plan.features_a(results(spark, folder))
+    df = feature_plan.features_a(materialise(results(spark, folder)))
     return round_all(df, FEATURES_A, 5).select(
         F.col("Player").alias("player"), F.col("Tournament").alias("tournament"), F.col("Year").alias("season"), F.col("Normalized_Position").alias("np"), *FEATURES_A
     )
@@ -94,7 +94,7 @@ def _filled_sql(column: str) -> str:
 @query(f"WITH {_FEATURES_A_SQL} SELECT player, tournament, year AS season, {', '.join(_filled_sql(c) for c in FEATURES_A)} FROM features")
 def filled_features_a(spark: SparkSession, folder: str) -> DataFrame:
     """Feature table A with gaps filled from the rows outside the upcoming event."""
-    df = feature_plan.fill_a(materialise(feature_plan.features_a(results(spark, folder))), event_rows("Event 07", 2001))
+    df = feature_plan.fill_a(materialise(feature_plan.features_a(materialise(results(spark, folder)))), event_rows("Event 07", 2001))
     return round_all(df, FEATURES_A, 5).select(F.col("Player").alias("player"), F.col("Tournament").alias("tournament"), F.col("Year").alias("season"), *FEATURES_A)
 
 
@@ -114,7 +114,7 @@ features AS (SELECT r.*, Position_Trend, Position_ma_3 - Position_ma_5 AS Positi
 
 @query(f"WITH {_FEATURES_B_SQL} SELECT player, tournament, position, {_shown_sql(FEATURES_B)} FROM features")
 def feature_table_b(spark: SparkSession, folder: str) -> DataFrame:
-    df = feature_plan.features_b(materialise(add_first_history(results(spark, folder))))
+    df = feature_plan.features_b(materialise(add_first_history(materialise(results(spark, folder)))))
     return round_all(df, FEATURES_B, 5).select(F.col("Player").alias("player"), F.col("Tournament").alias("tournament"), F.col("Position").alias("position"), *FEATURES_B)
 
 
@@ -297,7 +297,7 @@ def penalty_grids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _features_b(spark: SparkSession, folder: str) -> DataFrame:
-    return feature_plan.features_b(materialise(add_first_history(results(spark, folder))))
+    return feature_plan.features_b(materialise(add_first_history(materialise(results(spark, folder)))))
 
 
 @query()
@@ -327,7 +327,7 @@ def _small_regressors() -> dict:
 @query()
 def position_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """The race on feature table A and its forecast of the upcoming event."""
-    df = feature_plan.features_a(results(spark, folder))
+    df = feature_plan.features_a(materialise(results(spark, folder)))
     return forecast_plan.forecast_positions(df, event_rows("Event 07", 2001), candidates=_small_regressors(), folds=3).forecast
 
 

@@ -23,6 +23,8 @@ REGIONS = {
     "Other": ["PR"],
 }
 
+# Every character that counts as white space.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -51,10 +53,23 @@ def unescape(text: Column) -> Column:
     return F.when(F.instr(text, "&") == 0, text).otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, "")))
 
 
+def strip_tags(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", "")
+
+
+def tidy(text: Column) -> Column:
+    """Entities decoded, then any white space trimmed from both ends."""
+    return F.btrim(unescape(text), F.lit(_WHITE))
+
+
 def cell_text(html: Column) -> Column:
-    """Visible text of a fragment: tags dropped, entities decoded, ends trimmed of any white space."""
-    plain = unescape(F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", ""))
-    return F.regexp_replace(plain, r"(?U)^\s+|\s+$", "")
+    """Visible text of a fragment."""
+    return tidy(strip_tags(html))
+
+
+def cell_texts(fragments: Column) -> Column:
+    """Visible text of each fragment of an array; two steps, so that tags are searched once per fragment."""
+    return F.transform(F.transform(fragments, strip_tags), tidy)
 
 
 def capture(text: Column, pattern: str, group: int = 1) -> Column:

@@ -112,10 +112,14 @@ def previous_edition(
     *,
     missed: float | None = -1.0,
     default: float | None = 100.0,
+    editions: DataFrame | None = None,
 ) -> DataFrame:
-    """Value of the same entity in the same event one year earlier, its first row that year."""
+    """Value of the same entity in the same event one year earlier, its first row that year.
+
+    ``editions`` are the rows to look in, by default ``df``; give them where ``df`` is costly to compute twice.
+    """
     first = (
-        df.groupBy(entity, event, (F.col(year) + 1).alias(year))
+        (df if editions is None else editions).groupBy(entity, event, (F.col(year) + 1).alias(year))
         .agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_first"))
         .select(entity, event, year, F.col("_first.v").alias("_previous"))
     )

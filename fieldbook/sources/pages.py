@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.functions.text import capture, cell_text
+from fieldbook.functions.text import capture, cell_text, cell_texts
 from fieldbook.schema import BOARD_COLUMNS
 
 
@@ -43,17 +43,18 @@ def _outer(html: Column, tag: str) -> Column:
 def page_rows(pages: DataFrame, markup: Markup = Markup(), pick: str = "largest") -> DataFrame:
     """(page_id, block_no, row_no, cells): rows of the block with most rows (the first such), or of all blocks."""
     blocks = F.regexp_extract_all("html", F.lit(markup.block_pattern()), F.lit(1))
-    numbered = F.transform(
-        blocks, lambda b, i: F.struct(F.size(_outer(b, markup.row)).alias("n"), (-i).alias("place"), _outer(b, markup.row).alias("rows"))
-    )
+    rows_of = F.transform(blocks, lambda b: _outer(b, markup.row))
+    numbered = F.transform(rows_of, lambda rows, i: F.struct(F.size(rows).alias("n"), (-i).alias("place"), rows.alias("rows")))
     if pick == "largest":
-        numbered = F.when(F.size(numbered) > 0, F.array(F.array_max(numbered))).otherwise(numbered)
-    elif pick != "all":
+        chosen = F.array_compact(F.array(F.array_max(numbered)))
+    elif pick == "all":
+        chosen = numbered
+    else:
         raise ValueError(f"pick must be 'largest' or 'all', not {pick!r}")
-    per_block = pages.select("page_id", F.explode(numbered).alias("b"))
-    per_row = per_block.select("page_id", (-F.col("b.place")).alias("block_no"), F.posexplode("b.rows").alias("row_no", "row"))
-    cells = F.transform(_inner(F.col("row"), markup.cell), cell_text)
-    return per_row.select("page_id", "block_no", "row_no", cells.alias("cells"))
+    per_block = pages.select("page_id", F.explode(chosen).alias("b"))
+    # Cells are read before the rows are spread out, so that a later filter on them does not read them again.
+    cells = F.transform("b.rows", lambda row: cell_texts(_inner(row, markup.cell)))
+    return per_block.select("page_id", (-F.col("b.place")).alias("block_no"), F.posexplode(cells).alias("row_no", "cells"))
 
 
 def extract_cells(
