@@ -18,7 +18,7 @@ texts AS (
     CASE o_orderkey % 6 WHEN 0 THEN '-' WHEN 1 THEN '' WHEN 2 THEN 'CUT' WHEN 3 THEN 'T' || CAST(o_custkey AS VARCHAR)
       ELSE CAST(o_custkey AS VARCHAR) END AS place,
     CASE o_orderkey % 5 WHEN 0 THEN 'E' WHEN 1 THEN '--' WHEN 2 THEN '+' || CAST(o_custkey % 20 AS VARCHAR)
-      WHEN 3 THEN ' ' || CAST(o_custkey AS VARCHAR) || ' ' ELSE '-' || CAST(o_custkey % 20 AS VARCHAR) END AS par,
+      WHEN 3 THEN ' ' || CAST(o_custkey AS VARCHAR) || ' ' ELSE '-' || CAST(1 + o_custkey % 20 AS VARCHAR) END AS par,
     CASE WHEN o_orderkey % 7 = 0 THEN '--' ELSE '$' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) || ',' ||
       lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS VARCHAR), 3, '0') END AS won
   FROM orders
@@ -35,7 +35,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     small = (player % 20).cast("string")
     par = (
         F.when(k % 5 == 0, "E").when(k % 5 == 1, "--").when(k % 5 == 2, F.concat(F.lit("+"), small))
-        .when(k % 5 == 3, F.concat(F.lit(" "), player.cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("-"), small))
+        .when(k % 5 == 3, F.concat(F.lit(" "), player.cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("-"), (1 + player % 20).cast("string")))
     )
     thousands = F.floor(F.col("o_totalprice") / 1000).cast("string")
     won = F.when(k % 7 == 0, "--").otherwise(F.concat(F.lit("$"), thousands, F.lit(","), F.lpad((price % 1000).cast("string"), 3, "0")))

@@ -25,7 +25,7 @@ def test_query_agrees_with_sql(spark, base, name):
     relation = base.sql(ORACLES[name])
     got, want = df.toPandas(), relation.df()
     kinds = dict(zip(relation.columns, map(str, relation.types)))
-    assert differences(dict(df.dtypes), kinds, got, want) == [] or name == "coerce_numbers"
+    assert differences(dict(df.dtypes), kinds, got, want) == []
     pd.testing.assert_frame_equal(normal(got), normal(want), check_dtype=False, rtol=0, atol=2e-6)
 
 
