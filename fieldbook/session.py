@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,12 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    Used where a frame feeds several scans (model folds, sampled cut points), so that losing an
-    executor re-reads files instead of recomputing the whole lineage.
+    Used where a frame feeds several scans (model folds, sampled cut points). Losing an executor then
+    re-reads files instead of recomputing the lineage, and each scan reads only the columns it needs.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
