@@ -71,11 +71,11 @@ class Segmented:
 
 def _cut_points(
     df: DataFrame, entity: list[str], order: list[str], before: int, after: int, layout: Layout
-) -> DataFrame | None:
-    """One row per entity that is too large, with its sorted cuts; None if there is no such entity."""
+) -> tuple[DataFrame | None, int]:
+    """One row per entity that is too large, with its sorted cuts, and the most cuts of any; None if no entity is."""
     total = df.count()
     if total < 2 * layout.segment_rows:
-        return None
+        return None, 0
     rate = min(layout.stride / layout.segment_rows, layout.sample_rows / total)
     picked = F.pmod(F.xxhash64(*entity, *order), F.lit(_HASH_RANGE)) < int(rate * _HASH_RANGE)
     # Equal keys share one hash, so copies of a row count once and cannot flood the sample.
@@ -92,14 +92,15 @@ def _cut_points(
     ).filter((place % layout.stride == 0) & (place + layout.stride <= size))
     cuts = placed.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("cut", "halo_from", "halo_to"))).alias(_CUTS))
     found = cuts.collect()  # sample_rows / stride entries at most
-    return df.sparkSession.createDataFrame(found, cuts.schema) if found else None
+    if not found:
+        return None, 0
+    return df.sparkSession.createDataFrame(found, cuts.schema), max(len(row[_CUTS]) for row in found)
 
 
-def _segment_number(key: Column, layout: Layout) -> Column:
-    """Number of cuts at or before ``key``: a binary search over the sorted array of cuts."""
+def _segment_number(key: Column, most: int) -> Column:
+    """Number of cuts at or before ``key``: a binary search over the sorted array of at most ``most`` cuts."""
     cuts = F.col(_CUTS)
-    top = max(1, (2 * layout.sample_rows // layout.stride).bit_length())
-    steps = F.array(*[F.lit(1 << b) for b in range(top, -1, -1)])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(most.bit_length()))])
 
     def climb(place: Column, step: Column) -> Column:
         ahead = place + step
@@ -129,11 +130,11 @@ def segment(
         df = reduce(lambda d, c: d.filter(F.col(c).isNotNull()), entity, df)
     else:
         entity, df = [_ALL], df.withColumn(_ALL, F.lit(0))
-    cuts = _cut_points(df, entity, order, before, after, layout)
+    cuts, most = _cut_points(df, entity, order, before, after, layout)
     if cuts is None:
         return Segmented(df, None, entity, order)
     rows = df.join(F.broadcast(cuts), entity, "left").withColumn(_KEY, F.struct(*order))
-    rows = rows.withColumn(SEGMENT, _segment_number(F.col(_KEY), layout))
+    rows = rows.withColumn(SEGMENT, _segment_number(F.col(_KEY), most))
     number, key = F.col(SEGMENT), F.col(_KEY)
 
     def copy_to(segment_number: Column, core: bool) -> Column:
