@@ -10,10 +10,14 @@ Jaccard likeness 3/4 have overlap 3/4 of either size, so the first tokens they s
 2. Index: a set with more tokens of class 0 than it may lose has no partner. Any other set indexes the rare tokens of its
    prefix singly. If the prefix reaches frequent tokens, it is extended by G + 1 and the frequent tokens in it are dealt
    into G hash groups: sets that share G + 1 of them share two in one group, so the pairs of each group are indexed as
-   combinations. G follows the size, so that a set indexes about as many combinations as it has prefix tokens.
-3. Verify: each set is compared with the least set under each of its keys, which joins most members of a group of copies
-   in linear time. Only keys under which different components still meet are expanded into pairs, of different
-   components and fitting sizes, and these are compared exactly. No pair of linked sets is missed.
+   combinations. G follows the size, so that a set indexes about as many combinations as it has prefix tokens. The
+   smaller set of a pair shares 6/7 of its tokens, so its prefix is shorter; keys in it are marked, and a pair meets
+   under a key that its smaller set has marked.
+3. Merge: keys under which the same sets stand say the same, and one of them is kept.
+4. Verify: each set is compared with one marked set under each of its keys, that with the most frequent tokens, which in a
+   group of copies is the nearest to all others. This joins most members of such a group in linear time. Only keys under which different components still meet are expanded into pairs, of different
+   components that may reach the likeness by their sizes and profiles (tokens that are not lone, counted by cells of
+   their hashes), and these are compared exactly. No pair of linked sets is missed.
 
 Equal sets are one class and are indexed once a task. A null or empty text has no set and is linked with nothing. Rows
 with one doc_id are documents of their own for their links and share the id; a null doc_id is never the name of a
@@ -39,6 +43,8 @@ WORDS = 5
 #: Documents a rare token is in at most.
 RARE = 32
 SLOT_BITS = 25
+#: Cells of a set's profile.
+CELLS = 64
 _FLUSH = 2_000_000
 _U64 = np.uint64
 
@@ -120,33 +126,42 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     return (3 * n + 3) // 4
 
 
+def shorter_overlap(n: np.ndarray | int) -> np.ndarray | int:
+    """Tokens that a set of n must share with a partner that is not smaller: 6/7 of them, rounded up."""
+    return (6 * n + 6) // 7
+
+
 def index_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Keys of one set: rare tokens of the prefix, and combinations of frequent ones."""
+    """Keys of one set: rare tokens of the prefix, and combinations of frequent ones. The lowest bit is the mark."""
     n = len(tokens)
     order = np.argsort(classes, kind="stable")
     tokens, classes = tokens[order], classes[order]
-    need = least_overlap(n)
+    need, more = least_overlap(n), shorter_overlap(n)
     first = n - need + 1
-    keys = [mix(tokens[:first][classes[:first] == 1])]
+    rare = classes[:first] == 1
+    keys, marks = [mix(tokens[:first][rare])], [np.flatnonzero(rare) <= n - more]
     if classes[first - 1] > 1:
         level = n.bit_length() - 1
         for k in {level, ((4 * n) // 3).bit_length() - 1}:
             groups = max(1, (1 << k) // 4)
             longer = min(n, n - need + groups + 1)
-            often = tokens[:longer][classes[:longer] > 1]
+            place = np.flatnonzero(classes[:longer] > 1)
+            often, near = tokens[place], place <= n - more + groups
             group = mix(often ^ _U64(0x5BD1E995)) & _U64(groups - 1)
             by = np.argsort(group, kind="stable")
-            group, often = group[by], often[by]
+            group, often, near = group[by], often[by], near[by]
             for step in range(1, len(often)):
                 same = group[step:] == group[:-step]
                 if not same.any():
                     break
                 keys.append(mix(mix(often[:-step][same]) + often[step:][same] * _U64(0x2545F4914F6CDD1D) + _U64(k)))
-    return np.unique(np.concatenate(keys))
+                marks.append((near[:-step] & near[step:])[same])
+    keys, marks = np.concatenate(keys), np.concatenate(marks)
+    return np.unique(keys >> _U64(1) << _U64(1) | marks.astype(_U64))
 
 
 def indexed(docs: DataFrame, table: np.ndarray, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """doc_id, n (set size), cls (hash of the set), and once a task for sets that may have partners their keys and tokens."""
+    """doc_id, n (set size), cls (hash of the set), and once a task for sets that may have partners: lone (tokens of class 0), usual (mean class), profile, keys, tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +175,37 @@ def indexed(docs: DataFrame, table: np.ndarray, slot_bits: int = SLOT_BITS) -> D
                 classes = known[tokens >> _U64(64 - slot_bits)]
                 alone = np.concatenate([[0], np.cumsum(classes == 0)])
                 alone = alone[offsets[1:]] - alone[offsets[:-1]]
+                usual = np.concatenate([[0], np.cumsum(classes, dtype=np.int64)])
+                usual = (usual[offsets[1:]] - usual[offsets[:-1]]) / np.maximum(n, 1)
                 maybe = (n > 2) & (alone <= n - least_overlap(n))
-                keys, sets = [None] * len(n), [None] * len(n)
+                keys, sets, profiles = [None] * len(n), [None] * len(n), [None] * len(n)
                 for i in np.flatnonzero(maybe).tolist():
                     if cls[i] in seen:
                         continue
                     seen.add(cls[i])
                     a, b = offsets[i], offsets[i + 1]
-                    keys[i], sets[i] = index_keys(tokens[a:b], classes[a:b]).view(np.int64), tokens[a:b].view(np.int64)
-                    if not len(keys[i]):
-                        keys[i] = sets[i] = None
+                    found = index_keys(tokens[a:b], classes[a:b])
+                    if len(found):
+                        keys[i], sets[i] = found.view(np.int64), tokens[a:b].view(np.int64)
+                        profiles[i] = np.bincount((tokens[a:b][classes[a:b] > 0] % _U64(CELLS)).astype(np.int64), minlength=CELLS)
                 kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(cls), pa.array(keys, kind), pa.array(sets, kind)], names=["doc_id", "n", "cls", "keys", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(cls), pa.array(alone, pa.int64()), pa.array(usual), pa.array(profiles, pa.list_(pa.int32())), pa.array(keys, kind), pa.array(sets, kind)],
+                    names=["doc_id", "n", "cls", "lone", "usual", "profile", "keys", "tokens"],
+                )
+
+    return documents_only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint, lone bigint, usual double, profile array<int>, keys array<bigint>, tokens array<bigint>")
+
 
-    return documents_only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint, keys array<bigint>, tokens array<bigint>")
+def kept_postings(keyed: DataFrame) -> DataFrame:
+    """key, cls, marked: of the keys under which the same sets stand, and some marked one, one key."""
+    each = keyed.select("cls", F.explode("keys").alias("k")).select("cls", F.shiftright("k", 1).alias("key"), (F.col("k") % 2 != 0).alias("marked"))
+    lists = each.groupBy("key").agg(
+        F.count(F.lit(1)).alias("many"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("marked").alias("some"),
+        F.bit_xor(F.xxhash64("cls", "marked")).alias("one"), F.sum(F.shiftright(F.xxhash64("marked", "cls"), 20)).alias("two"),
+    )
+    lists = lists.where("many > 1 AND some").groupBy("many", "low", "high", "one", "two").agg(F.min("key").alias("key"))
+    return each.join(lists.select("key"), "key")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -185,27 +217,35 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= 75 * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
 
 
+def may_link() -> F.Column:
+    """Whether two sets can share 3/7 of their sizes' sum: by size, by tokens that are not lone, and by cells of their profiles."""
+    most = F.least("n", "m", F.col("n") - F.col("lone"), F.col("m") - F.col("lone_b"))
+    cells = F.aggregate(F.zip_with("profile", "profile_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    need = 3 * (F.col("n") + F.col("m"))
+    return (7 * most >= need) & (7 * cells >= need)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, and n_same, the number of documents with the same set."""
     data = written(indexed(docs, class_table(docs)), "near-index")
-    some = data.where("keys IS NOT NULL")
-    sets = written(some.groupBy("cls").agg(F.first("tokens").alias("tokens")), "near-sets")
-    postings = some.groupBy("cls", "n").agg(F.first("keys").alias("keys")).select("cls", "n", F.explode("keys").alias("key"))
+    keyed = written(data.where("keys IS NOT NULL").groupBy("cls", "n", "lone", "usual").agg(F.first("profile").alias("profile"), F.first("keys").alias("keys")), "near-keys")
+    postings = kept_postings(keyed).join(keyed.select("cls", "n", "lone", "usual", "profile"), "cls")
     postings = written(postings, "near-postings")
-    fits = 4 * F.least("n", "m") >= 3 * F.greatest("n", "m")
-
-    heads = postings.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    heads = heads.select("key", F.col("head.cls").alias("a"), F.col("head.n").alias("m"))
-    stars = postings.join(heads, "key").where((F.col("cls") != F.col("a")) & fits).select("a", F.col("cls").alias("b")).distinct()
+    sets = data.where("keys IS NOT NULL").join(postings.select("cls").distinct(), "cls", "left_semi")
+    sets = written(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")), "near-sets")
+    heads = postings.where("marked").groupBy("key").agg(F.min(F.struct((-F.col("usual")).alias("unusual"), "cls", "n", "lone", "profile")).alias("head"))
+    heads = heads.select("key", F.col("head.cls").alias("a"), *(F.col(f"head.{c}").alias(c) for c in ("n", "lone", "profile")))
+    others = postings.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("lone").alias("lone_b"), F.col("profile").alias("profile_b"))
+    stars = others.join(heads, "key").where((F.col("b") != F.col("a")) & may_link()).select("a", "b").distinct()
     links = written(verified(stars, sets), "near-links")
     part = components(links, "a", "b")
 
-    placed = postings.join(part, postings["cls"] == part["vertex"], "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    placed = postings.join(part, postings["cls"] == part["vertex"], "left").select("key", "cls", "n", "lone", "profile", "marked", F.coalesce("component", "cls").alias("comp"))
     placed = written(placed, "near-placed")
     meeting = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     open_ = placed.join(meeting, "key", "left_semi")
-    other = open_.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    rest = open_.withColumnRenamed("cls", "a").join(other, "key").where((F.col("comp") < F.col("comp_b")) & fits).select("a", "b").distinct()
+    other = open_.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("lone").alias("lone_b"), F.col("profile").alias("profile_b"), F.col("comp").alias("comp_b"))
+    rest = open_.where("marked").withColumnRenamed("cls", "a").join(other, "key").where((F.col("comp") != F.col("comp_b")) & (F.col("n") <= F.col("m")) & may_link()).select("a", "b").distinct()
     more = verified(rest, sets)
     part = components(links.unionByName(more), "a", "b")
 
