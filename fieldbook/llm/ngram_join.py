@@ -43,8 +43,8 @@ WORDS = 5
 #: Documents a rare token is in at most.
 RARE = 32
 SLOT_BITS = 25
-#: Cells of a set's profile.
-CELLS = 64
+#: Cells of a set's profile; eight tokens of each are told apart.
+CELLS = 128
 _FLUSH = 2_000_000
 _U64 = np.uint64
 
@@ -160,6 +160,13 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.unique(keys >> _U64(1) << _U64(1) | marks.astype(_U64))
 
 
+def profile_of(tokens: np.ndarray) -> np.ndarray:
+    """Tokens by cells of their hashes: as many low bits of a cell's byte as it has tokens, and last the tokens beyond 8."""
+    counts = np.bincount((tokens % _U64(CELLS)).astype(np.int64), minlength=CELLS)
+    bits = ((1 << np.minimum(counts, 8)) - 1).astype(np.uint8)
+    return np.append(bits.view(np.int64), np.maximum(counts - 8, 0).sum())
+
+
 def indexed(docs: DataFrame, table: np.ndarray, slot_bits: int = SLOT_BITS) -> DataFrame:
     """doc_id, n (set size), cls (hash of the set), and once a task for sets that may have partners: lone (tokens of class 0), usual (mean class), profile, keys, tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -187,14 +194,14 @@ def indexed(docs: DataFrame, table: np.ndarray, slot_bits: int = SLOT_BITS) -> D
                     found = index_keys(tokens[a:b], classes[a:b])
                     if len(found):
                         keys[i], sets[i] = found.view(np.int64), tokens[a:b].view(np.int64)
-                        profiles[i] = np.bincount((tokens[a:b][classes[a:b] > 0] % _U64(CELLS)).astype(np.int64), minlength=CELLS)
+                        profiles[i] = profile_of(tokens[a:b][classes[a:b] > 0])
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(cls), pa.array(alone, pa.int64()), pa.array(usual), pa.array(profiles, pa.list_(pa.int32())), pa.array(keys, kind), pa.array(sets, kind)],
+                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(cls), pa.array(alone, pa.int64()), pa.array(usual), pa.array(profiles, pa.list_(pa.int64())), pa.array(keys, kind), pa.array(sets, kind)],
                     names=["doc_id", "n", "cls", "lone", "usual", "profile", "keys", "tokens"],
                 )
 
-    return documents_only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint, lone bigint, usual double, profile array<int>, keys array<bigint>, tokens array<bigint>")
+    return documents_only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint, lone bigint, usual double, profile array<bigint>, keys array<bigint>, tokens array<bigint>")
 
 
 def kept_postings(keyed: DataFrame) -> DataFrame:
@@ -220,7 +227,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def may_link() -> F.Column:
     """Whether two sets can share 3/7 of their sizes' sum: by size, by tokens that are not lone, and by cells of their profiles."""
     most = F.least("n", "m", F.col("n") - F.col("lone"), F.col("m") - F.col("lone_b"))
-    cells = F.aggregate(F.zip_with("profile", "profile_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    p, q, last = F.col("profile"), F.col("profile_b"), CELLS // 8
+    cells = sum((F.bit_count(p[i].bitwiseAND(q[i])) for i in range(last)), F.least(p[last], q[last]))
     need = 3 * (F.col("n") + F.col("m"))
     return (7 * most >= need) & (7 * cells >= need)
 
