@@ -43,8 +43,8 @@ WORDS = 5
 #: Documents a rare token is in at most.
 RARE = 32
 SLOT_BITS = 25
-#: Cells of a set's profile; eight tokens of each are told apart.
-CELLS = 128
+#: Cells of a set's profile; four tokens of each are told apart.
+CELLS = 512
 _FLUSH = 2_000_000
 _U64 = np.uint64
 
@@ -161,10 +161,10 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def profile_of(tokens: np.ndarray) -> np.ndarray:
-    """Tokens by cells of their hashes: as many low bits of a cell's byte as it has tokens, and last the tokens beyond 8."""
+    """Tokens by cells of their hashes: as many low bits of a cell's four as it has tokens, and last the tokens beyond 4."""
     counts = np.bincount((tokens % _U64(CELLS)).astype(np.int64), minlength=CELLS)
-    bits = ((1 << np.minimum(counts, 8)) - 1).astype(np.uint8)
-    return np.append(bits.view(np.int64), np.maximum(counts - 8, 0).sum())
+    bits = ((1 << np.minimum(counts, 4)) - 1).astype(np.uint8)
+    return np.append((bits[::2] | bits[1::2] << 4).view(np.int64), np.maximum(counts - 4, 0).sum())
 
 
 def indexed(docs: DataFrame, table: np.ndarray, slot_bits: int = SLOT_BITS) -> DataFrame:
@@ -227,7 +227,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def may_link() -> F.Column:
     """Whether two sets can share 3/7 of their sizes' sum: by size, by tokens that are not lone, and by cells of their profiles."""
     most = F.least("n", "m", F.col("n") - F.col("lone"), F.col("m") - F.col("lone_b"))
-    p, q, last = F.col("profile"), F.col("profile_b"), CELLS // 8
+    p, q, last = F.col("profile"), F.col("profile_b"), CELLS // 16
     cells = sum((F.bit_count(p[i].bitwiseAND(q[i])) for i in range(last)), F.least(p[last], q[last]))
     need = 3 * (F.col("n") + F.col("m"))
     return (7 * most >= need) & (7 * cells >= need)
