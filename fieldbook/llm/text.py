@@ -121,7 +121,7 @@ def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, dtype=_U64), np.zeros(len(bounds), dtype=np.int64)
     run = np.zeros(n, dtype=_U64)
-    for j in range(size):
+    for j in range(min(size, n)):
         run[: n - j] += h[j:] * _STEPS[j]
     taken = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     keep = np.zeros(n + 1, dtype=np.int8)
