@@ -219,7 +219,7 @@ def metric_lines(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.metric_lines(_fold_quality(spark, folder))
 
 
-_JUDGED_SQL = "judged AS (SELECT quality AS y, CAST(least(n_chars, 2000) AS DOUBLE) / 2000 AS p FROM labels JOIN documents USING (doc_id))"
+_JUDGED_SQL = "judged AS (SELECT quality AS y, CAST(n_chars AS DOUBLE) / CAST(n_chars + 2000 AS DOUBLE) AS p FROM labels JOIN documents USING (doc_id))"
 _CURVE_SQL = f"""{_JUDGED_SQL}, points AS (SELECT p, sum(y) AS hits, count(*) AS rows FROM judged GROUP BY p),
 sums AS (SELECT *, sum(hits) OVER (ORDER BY p DESC) AS tp, sum(rows) OVER (ORDER BY p DESC) AS n, (SELECT sum(y) FROM judged) AS positives FROM points),
 curve AS (SELECT p AS threshold, tp / n AS precision, tp / positives AS recall,
@@ -228,7 +228,7 @@ curve AS (SELECT p AS threshold, tp / n AS precision, tp / positives AS recall,
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "n_chars")
-    score = F.least(F.col("n_chars"), F.lit(2000)) / 2000
+    score = F.col("n_chars") / (F.col("n_chars") + 2000)
     return table(spark, folder, "labels").join(documents, "doc_id").select(F.col("quality").alias("y"), score.alias("p"))
 
 

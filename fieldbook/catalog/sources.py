@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldbook.catalog.base import ROUNDS_SQL, query, scored_panel, table
 from fieldbook.functions.text import capture
-from fieldbook.operators.relational import first_values
 from fieldbook.plans import results as plan
 from fieldbook.session import shared_folder
 from fieldbook.sources import pages as p
@@ -123,21 +123,22 @@ def field_rows(spark: SparkSession, folder: str) -> DataFrame:
 RESULTS_SQL = (
     ROUNDS_SQL
     + """,
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player, year, event ORDER BY k) AS n FROM scored) WHERE n = 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY player, year, event ORDER BY k) AS n FROM scored),
 results AS (
-  SELECT CAST(player AS VARCHAR) AS player, 'Event ' || lpad(CAST(event AS VARCHAR), 2, '0') AS tournament, year, make_date(year, event, 4) AS d,
-         position, to_par, r1, r2, r3, r4 FROM firsts
+  SELECT CAST(player AS VARCHAR) AS player, 'Event ' || lpad(CAST(event AS VARCHAR), 2, '0') || CASE WHEN n > 1 THEN ' No ' || CAST(n AS VARCHAR) ELSE '' END AS tournament, year, make_date(year, event, 4) AS d,
+         position, to_par, r1, r2, r3, r4 FROM numbered
 )"""
 )
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
-    """One result per customer, calendar month and year, in the columns of the results table."""
-    first = first_values(scored_panel(spark, folder), ["player", "year", "event"], ["k"])
+    """One result per order, in the columns of the results table; further orders of a customer and month are events of their own."""
+    order = W.partitionBy("player", "year", "event").orderBy("k")
+    first = scored_panel(spark, folder).withColumn("n", F.row_number().over(order))
     number = F.lpad(F.col("event").cast("string"), 2, "0")
     text = {c: F.col(c.lower()).cast("string").alias(c) for c in ("R1", "R2", "R3", "R4")}
     return first.select(
-        F.concat(F.lit("Event "), number).alias("Tournament"),
+        F.concat(F.lit("Event "), number, F.when(F.col("n") > 1, F.concat(F.lit(" No "), F.col("n").cast("string"))).otherwise("")).alias("Tournament"),
         F.lit("Muirfield - Dublin, OH").alias("Location"),
         F.col("year").alias("Year"),
         F.col("position").alias("Position"),
@@ -169,7 +170,7 @@ SELECT player, tournament, year, position, 'OH' AS state, 'Midwest' AS region, l
 def results_table(spark: SparkSession, folder: str) -> DataFrame:
     """Pages to the results table: schedule and boards are written out as pages and read back."""
     found = results(spark, folder)
-    number = F.concat(F.col("Year").cast("string"), F.substring("Tournament", -2, 2))
+    number = F.concat(F.col("Year").cast("string"), F.regexp_replace("Tournament", "[^0-9]", ""))
     month = F.date_format("Final_Date", "MMM")
     events = found.select("Tournament", "Year", number.alias("id"), month.alias("month")).distinct()
     schedule_html = F.concat(

@@ -50,10 +50,10 @@ class GridResult:
 
 
 def moments(df: DataFrame, features: Sequence[str], label: str, fold: str | None = None) -> dict[int, np.ndarray]:
-    """Per fold, the sums of products of (1, features, label)."""
+    """Per fold, the sums of products of (1, features, label). Rows with a null or NaN among these or without a fold are left out."""
     names = [*features, label]
     width = len(names) + 1
-    picked = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("_f"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+    picked = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("_f"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(names)]).dropna()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -98,8 +98,8 @@ def _descend(xx: np.ndarray, xy: np.ndarray, lasso: np.ndarray, ridge: np.ndarra
         w[open_], gradient[open_] = v, g
         open_ = open_[moved > tolerance * scale[open_]]
         if not len(open_):
-            break
-    return w
+            return w
+    raise ArithmeticError(f"{len(open_)} of {len(w)} problems did not converge in {sweeps} sweeps")
 
 
 def solve(products: Sequence[np.ndarray], penalties: Sequence[Penalty]) -> list[tuple[np.ndarray, float]]:

@@ -12,16 +12,10 @@ from fieldbook.functions.text import dnf_label, fixed_point
 from fieldbook.operators.relational import numeric_columns, require_columns, with_table_value
 from fieldbook.operators.stats import describe, key_correlation, strongest_drivers
 
-IMPROVE = (
-    "**Improve %s:** This metric has a strong negative correlation (%.2f) with {key}. "
-    "A higher value is likely to lower your {key}."
-)
-REDUCE = (
-    "**Reduce %s:** This metric has a strong positive correlation (%.2f) with {key}. "
-    "A lower value is likely to lower your {key}."
-)
-NONE_FOUND = "No strong correlations found to give specific advice on the current data and thresholds."
-HEADING = "To move from %s %s towards %s %s, focus on the following areas."
+IMPROVE = "**Improve %s:** its correlation with {key} is %.2f, so {key} tends to fall where it rises."
+REDUCE = "**Reduce %s:** its correlation with {key} is %.2f, so {key} tends to fall where it falls."
+NONE_FOUND = "No feature passes the threshold on these rows."
+HEADING = "Between %s %s and %s %s, these features matter."
 
 
 def _long(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
@@ -35,10 +29,10 @@ def levels(df: DataFrame, key: str) -> DataFrame:
 
 
 def kpi_snapshot(df: DataFrame, key: str, level, metrics: Sequence[str]) -> DataFrame:
-    """(metric, value) text of one level; ``N/A`` where a metric or the level is absent."""
+    """(metric, value) text of one level, of its least row by the metrics in order; ``N/A`` where a metric or the level is absent."""
     present = [m for m in metrics if m in df.columns]
     row = df.filter(F.col(key) == level).groupBy().agg(
-        F.min_by(F.struct(*[F.col(f"`{m}`").cast("double").alias(f"_{i}") for i, m in enumerate(present)]), F.lit(0)).alias("r")
+        F.min(F.struct(*[F.col(f"`{m}`").cast("double").alias(f"_{i}") for i, m in enumerate(present)])).alias("r")
     )
     cells = F.array(
         *[
