@@ -45,7 +45,7 @@ RARE = 32
 SLOT_BITS = 25
 #: Cells of a set's profile; four tokens of each are told apart.
 CELLS = 512
-_FLUSH = 2_000_000
+_FLUSH = 500_000
 _U64 = np.uint64
 
 

@@ -1,6 +1,6 @@
 """Words and shingles of Arrow text columns as flat numpy arrays, without a Python object per word.
 
-A batch is cut into slices of a few megabytes (a longer text is a slice of its own), so that a task needs the same
+A batch is cut into slices of half a megabyte (a longer text is a slice of its own), so that a task needs the same
 memory whatever the batch size. A word is a run of bytes other than space and the control characters 9 to 13; only A-Z
 are lower-cased, which is safe on the bytes of UTF-8.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _U64 = np.uint64
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
