@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.catalog.base import PANEL_SQL, ROUNDS_SQL, panel, query, round_all, scored_panel, table
@@ -12,7 +15,7 @@ from fieldbook.functions.numeric import fold_of, held_out
 from fieldbook.ml import linear, metrics, oversample, prep, trees
 from fieldbook.operators.history import add_history, rolling_mean
 from fieldbook.operators.impute import FillRules, impute
-from fieldbook.operators.relational import split_by
+from fieldbook.operators.relational import with_table_value
 from fieldbook.plans import features as feature_plan
 from fieldbook.plans import forecast as forecast_plan
 from fieldbook.plans.results import add_first_history, event_rows
@@ -300,6 +303,19 @@ def _features_b(spark: SparkSession, folder: str) -> DataFrame:
     return feature_plan.features_b(materialise(add_first_history(materialise(results(spark, folder)))))
 
 
+def _spread() -> Column:
+    """Squared error over unexplained share: the variance of the measured rows, whatever the model."""
+    return F.round(F.col("rmse") * F.col("rmse") / (1 - F.col("r2")), 4).alias("spread")
+
+
+def _sound(*conditions: Column) -> Column:
+    return reduce(and_, conditions).alias("sound")
+
+
+def _shares(*names: str) -> Column:
+    return _sound(*[F.col(n).between(0, 1) for n in names])
+
+
 @query()
 def linear_study(spark: SparkSession, folder: str) -> DataFrame:
     """Ridge, lasso and elastic net on feature table B, with their errors on held-out rows."""
@@ -336,16 +352,31 @@ def _order_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return forecast_plan.with_features(df, ["position", "to_par", "event"])
 
 
-@query()
+def _fold_sql(key: str, folds: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {folds} AS INT)"
+
+
+@query(
+    f"""WITH {PANEL_SQL} SELECT model, {_fold_sql("k", 3)} AS fold, round(var_pop(to_par + event), 4) AS spread, true AS sound
+FROM panel, (VALUES ('forest'), ('boosted')) AS m(model) GROUP BY 1, 2"""
+)
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean fold quality of the tree candidates."""
-    return metrics.mean_over_folds(trees.compare(_order_vectors(spark, folder).select("features", "label", "fold").persist(), _small_regressors(), "fold"))
+    """Every tree candidate measured on every fold: the variance of the fold by its errors, and sound errors."""
+    compared = trees.compare(_order_vectors(spark, folder).select("features", "label", "fold").persist(), _small_regressors(), "fold")
+    return compared.select("model", "fold", _spread(), _sound(F.col("mae") <= F.col("rmse"), F.col("r2") < 1))
 
 
-@query()
+@query(
+    f"""WITH {PANEL_SQL}, pulls AS (SELECT abs(corr(position, to_par + event)) AS a, abs(corr(to_par, to_par + event)) AS b, abs(corr(event, to_par + event)) AS c FROM panel),
+listed AS (SELECT unnest(['position', 'to_par', 'event']) AS feature, unnest([a, b, c]) AS r FROM pulls)
+SELECT feature, r = max(r) OVER () AS strongest, 1.0::DOUBLE AS total, true AS sound FROM listed"""
+)
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Importances of a forest: shares that add up to 1, the greatest for the feature that correlates most with the label."""
     df = _order_vectors(spark, folder)
-    return trees.importances(df, trees.forest_regressor(5, 5).fit(df), ["position", "to_par", "event"])
+    found = trees.importances(df, trees.forest_regressor(5, 5).fit(df), ["position", "to_par", "event"])
+    found = with_table_value(found, {"_most": F.max("importance"), "_total": F.sum("importance")})
+    return found.select("feature", (F.col("importance") == F.col("_most")).alias("strongest"), F.round("_total", 6).alias("total"), _shares("importance"))
 
 
 def _label_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -398,13 +429,13 @@ def _small_bases() -> dict:
     return {"forest": trees.forest_classifier(5, 4), "boosted": trees.boosted_classifier(3, 3)}
 
 
-@query()
+@query(f"SELECT doc_id, quality, {_fold_sql('doc_id', 3)} AS fold, true AS sound FROM labels JOIN documents USING (doc_id)")
 def stacked_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Out-of-fold scores of both base models and the model over them."""
+    """Every labelled document once, in its fold, with out-of-fold scores of both base models and the model over them that are shares."""
     from fieldbook.ml.stacking import fit_stack
 
     stack = fit_stack(_label_vectors(spark, folder).persist(), "vec", "quality", "doc_id", "fold", _small_bases())
-    return stack.out_of_fold.select("doc_id", "quality", "forest", "boosted", "Preds")
+    return stack.out_of_fold.select("doc_id", "quality", "fold", _shares("forest", "boosted", "Preds"))
 
 
 @query()
