@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +67,8 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", "text").mapInArrow(run, "item_id bigint, item_words array<bigint>, seeds array<bigint>, places array<int>")
 
 
-def hit_documents(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def hit_documents(docs: DataFrame, shared: Broadcast[np.ndarray]) -> DataFrame:
     """Documents with seeds that pass the table: doc_id, word hashes, the seeds and their positions."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -134,8 +134,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_words, matched (words of the item), first_word (place in the document)."""
     items = written(benchmark_seeds(benchmark), "leak-items")
     seeds = items.select("item_id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item_id", F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_place"))
-    found = hit_documents(docs, present(seeds, "seed")).withColumn("key", F.xxhash64("doc_id", "words"))
+    known = docs.sparkSession.sparkContext.broadcast(present(seeds, "seed"))
+    found = hit_documents(docs, known).withColumn("key", F.xxhash64("doc_id", "words"))
     found = written(found, "leak-hits")
+    known.destroy()  # the hits are a table now: nothing computes them again
     hits = found.select("key", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("key", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
     laid = hits.join(seeds, "seed").groupBy("key", "item_id").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
     texts = found.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"))

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,9 +168,8 @@ def profile_of(tokens: np.ndarray) -> np.ndarray:
     return np.append((bits[::2] | bits[1::2] << 4).view(np.int64), np.maximum(counts - 4, 0).sum())
 
 
-def indexed(docs: DataFrame, table: np.ndarray, slot_bits: int = SLOT_BITS) -> DataFrame:
+def indexed(docs: DataFrame, shared: Broadcast[np.ndarray], slot_bits: int = SLOT_BITS) -> DataFrame:
     """doc_id, n (set size), cls (hash of the set), and once a task for sets that may have partners: lone (tokens of class 0), usual (mean class), profile, keys, tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = shared.value, set()
@@ -235,7 +235,9 @@ def may_link() -> F.Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, and n_same, the number of documents with the same set."""
-    data = written(indexed(docs, class_table(docs)), "near-index")
+    classes = docs.sparkSession.sparkContext.broadcast(class_table(docs))
+    data = written(indexed(docs, classes), "near-index")
+    classes.destroy()  # the index is a table now: nothing computes it again
     keyed = written(data.where("keys IS NOT NULL").groupBy("cls", "n", "lone", "usual").agg(F.first("profile").alias("profile"), F.first("keys").alias("keys")), "near-keys")
     postings = kept_postings(keyed).join(keyed.select("cls", "n", "lone", "usual", "profile"), "cls")
     postings = written(postings, "near-postings")

@@ -124,9 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discrimin
     """Fit on labelled documents whose crc32 leaves another remainder than 1 when divided by 3."""
     chosen = labelled_rows(labels, "quality", crc32_of_id(F.col("doc_id")) % 3 == 1, rows)
     texts = documents_only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = with_statistics(texts).join(F.broadcast(chosen), "doc_id").select("label", "statistics").toPandas()
-    x = np.array(sample["statistics"].tolist(), dtype=float).reshape(-1, len(STATISTICS))
-    return fit(x, sample["label"].to_numpy(dtype=int))
+    sample = with_statistics(texts).join(F.broadcast(chosen), "doc_id").select("label", "statistics").toArrow()
+    x = sample["statistics"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS))
+    return fit(x, sample["label"].to_numpy())
 
 
 def quality_scores(docs: DataFrame, model: Discriminant, threshold: float = 0.5) -> DataFrame:
