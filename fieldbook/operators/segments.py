@@ -11,7 +11,10 @@ Cut points come from rows sampled by hash before the plan is built, as Spark its
 a range partitioning. The sample only decides where to cut, never what is computed, so results are
 exact. If no entity is that large the plan is the plain window: one shuffle, nothing else. The table
 of cut points is broadcast; it holds about ``sample_rows / stride`` entries at most whatever the size
-of the input, because the sampling rate falls as the row count grows.
+of the input, because the sampling rate falls as the row count grows: beyond
+``sample_rows / stride * segment_rows`` rows segments grow with the input, and a caller with such
+tables gives a layout with a larger ``sample_rows``. Cuts are looked up in two steps, first the page
+of ``PAGE`` cuts, then the cut in it, so no row carries more than a page.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 SEGMENT, CORE = "_segment", "_core"
-_CUTS, _KEY, _ALL = "_cuts", "_key", "_all"
+_CUTS, _KEY, _ALL, _HEADS, _PAGE = "_cuts", "_key", "_all", "_heads", "_page"
+#: Cuts that are searched at once.
+PAGE = 128
 _HASH_RANGE = 1 << 40
 
 
@@ -41,7 +47,7 @@ DEFAULT_LAYOUT = Layout()
 
 @dataclass(frozen=True)
 class Segmented:
-    """Rows ready to be windowed by ``keys``; ``core`` is false on the halo copies."""
+    """Rows ready to be windowed by ``keys``; ``core`` is false on the halo copies. ``cuts`` has a row per divided entity."""
 
     rows: DataFrame
     cuts: DataFrame | None
@@ -71,11 +77,11 @@ class Segmented:
 
 def _cut_points(
     df: DataFrame, entity: list[str], order: list[str], before: int, after: int, layout: Layout
-) -> tuple[DataFrame | None, int]:
-    """One row per entity that is too large, with its sorted cuts, and the most cuts of any; None if no entity is."""
+) -> list[Row]:
+    """One row per entity that is too large, with its sorted cuts."""
     total = df.count()
     if total < 2 * layout.segment_rows:
-        return None, 0
+        return []
     rate = min(layout.stride / layout.segment_rows, layout.sample_rows / total)
     picked = F.pmod(F.xxhash64(*entity, *order), F.lit(_HASH_RANGE)) < int(rate * _HASH_RANGE)
     # Equal keys share one hash, so copies of a row count once and cannot flood the sample.
@@ -91,23 +97,47 @@ def _cut_points(
         F.count(F.lit(1)).over(Window.partitionBy(*entity)).alias("_size"),
     ).filter((place % layout.stride == 0) & (place + layout.stride <= size))
     cuts = placed.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("cut", "halo_from", "halo_to"))).alias(_CUTS))
-    found = cuts.collect()  # sample_rows / stride entries at most
-    if not found:
-        return None, 0
-    return df.sparkSession.createDataFrame(found, cuts.schema), max(len(row[_CUTS]) for row in found)
+    return cuts.collect()  # sample_rows / stride entries at most
+
+
+def _paged(df: DataFrame, entity: list[str], order: list[str], found: list[Row]) -> tuple[DataFrame, DataFrame, int]:
+    """Per entity the first cut of each page; per page its cuts and the next page's first; the most pages of any entity."""
+    key = StructType([df.schema[c] for c in order])
+    cut = StructType([StructField(n, key) for n in ("cut", "halo_from", "halo_to")])
+    own = [df.schema[c] for c in entity]
+    heads = [(*(row[c] for c in entity), [c["cut"] for c in row[_CUTS][::PAGE]]) for row in found]
+    pages = [
+        (*(row[c] for c in entity), start // PAGE, row[_CUTS][start : start + PAGE + 1])
+        for row in found
+        for start in range(0, len(row[_CUTS]), PAGE)
+    ]
+    spark = df.sparkSession
+    return (
+        spark.createDataFrame(heads, StructType([*own, StructField(_HEADS, ArrayType(key))])),
+        spark.createDataFrame(pages, StructType([*own, StructField(_PAGE, IntegerType()), StructField(_CUTS, ArrayType(cut))])),
+        max(len(h[-1]) for h in heads),
+    )
 
 
-def _segment_number(key: Column, most: int) -> Column:
-    """Number of cuts at or before ``key``: a binary search over the sorted array of at most ``most`` cuts."""
-    cuts = F.col(_CUTS)
+def _at_or_before(values: Column, most: int, key: Column, part: str | None = None) -> Column:
+    """Number of values at or before ``key``: a binary search over a sorted array of at most ``most`` values."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(most.bit_length()))])
 
     def climb(place: Column, step: Column) -> Column:
         ahead = place + step
-        fits = (ahead <= F.size(cuts)) & (F.get(cuts, ahead - 1)["cut"] <= key)
-        return F.when(fits, ahead).otherwise(place)
+        value = F.get(values, ahead - 1)
+        return F.when((ahead <= F.size(values)) & ((value[part] if part else value) <= key), ahead).otherwise(place)
+
+    return F.when(values.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), climb))
+
 
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), climb))
+def has_entity(entity: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in entity], F.lit(True))
+
+
+def with_rows_of_none(out: DataFrame, df: DataFrame, entity: list[str]) -> DataFrame:
+    """``out`` and the rows of ``df`` without an entity, their added columns null: they have no history."""
+    return out.unionByName(df.filter(~has_entity(entity)), allowMissingColumns=True) if entity else out
 
 
 def segment(
@@ -121,27 +151,30 @@ def segment(
 ) -> Segmented:
     """Cut ordered groups; ``before`` / ``after`` rows of context are copied across each cut.
 
-    Rows without an entity are left out. ``order`` should end in a unique column: rows with equal
+    Rows without an entity are left out, see ``with_rows_of_none``. ``order`` should end in a unique column: rows with equal
     order values have no defined sequence, with or without cuts.
     """
     if max(before, after) >= layout.stride:
         raise ValueError(f"frame of {max(before, after)} rows needs a stride above it, got {layout.stride}")
     if entity:
-        df = reduce(lambda d, c: d.filter(F.col(c).isNotNull()), entity, df)
+        df = df.filter(has_entity(entity))
     else:
         entity, df = [_ALL], df.withColumn(_ALL, F.lit(0))
-    cuts, most = _cut_points(df, entity, order, before, after, layout)
-    if cuts is None:
+    found = _cut_points(df, entity, order, before, after, layout)
+    if not found:
         return Segmented(df, None, entity, order)
-    rows = df.join(F.broadcast(cuts), entity, "left").withColumn(_KEY, F.struct(*order))
-    rows = rows.withColumn(SEGMENT, _segment_number(F.col(_KEY), most))
+    heads, pages, most = _paged(df, entity, order, found)
+    page = F.greatest(_at_or_before(F.col(_HEADS), most, F.col(_KEY)) - 1, F.lit(0))
+    rows = df.withColumn(_KEY, F.struct(*order)).join(F.broadcast(heads), entity, "left").withColumn(_PAGE, page).drop(_HEADS)
+    rows = rows.join(F.broadcast(pages), [*entity, _PAGE], "left")
+    rows = rows.withColumn("_local", _at_or_before(F.col(_CUTS), PAGE + 1, F.col(_KEY), "cut")).withColumn(SEGMENT, F.col(_PAGE) * PAGE + F.col("_local"))
     number, key = F.col(SEGMENT), F.col(_KEY)
 
     def copy_to(segment_number: Column, core: bool) -> Column:
         return F.struct(segment_number.alias(SEGMENT), F.lit(core).alias(CORE))
 
-    following = F.get(F.col(_CUTS), number)["halo_from"]
-    own = F.get(F.col(_CUTS), number - 1)["halo_to"]
+    following = F.get(F.col(_CUTS), F.col("_local"))["halo_from"]
+    own = F.get(F.col(_CUTS), F.col("_local") - 1)["halo_to"]
     copies = [copy_to(number, True)]
     if before:
         copies.append(F.when(key >= following, copy_to(number + 1, False)))
@@ -151,7 +184,7 @@ def segment(
     rows = rows.withColumn("_spread", F.explode(spread)).withColumns(
         {SEGMENT: F.col("_spread")[SEGMENT], CORE: F.col("_spread")[CORE]}
     )
-    return Segmented(rows.drop(_CUTS, _KEY, "_spread"), cuts, entity, order)
+    return Segmented(rows.drop(_CUTS, _KEY, _PAGE, "_local", "_spread"), heads, entity, order)
 
 
 def running_totals(
@@ -162,7 +195,7 @@ def running_totals(
     group: list[str] = (),
     layout: Layout = DEFAULT_LAYOUT,
 ) -> DataFrame:
-    """Add sums from the first row of the group up to and including the current row."""
+    """Add sums from the first row of the group up to and including the current row; null for rows without a group."""
     cut = segment(df, list(group), order, layout=layout)
     upto = cut.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = cut.rows.withColumns({name: F.sum(value).over(upto) for name, value in totals.items()})
@@ -178,7 +211,7 @@ def running_totals(
         rows = rows.join(F.broadcast(carry), cut.keys, "left").withColumns(
             {name: F.col(name) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0)) for name in totals}
         )
-    return rows.select(*df.columns, *totals)
+    return with_rows_of_none(rows.select(*df.columns, *totals), df, list(group))
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str, *, group: list[str] = (), layout: Layout = DEFAULT_LAYOUT) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldbook.operators import history as h
+from fieldbook.operators import segments
 from fieldbook.operators.segments import DEFAULT_LAYOUT, Layout, row_numbers, running_totals, segment
 
 TINY = Layout(segment_rows=40, stride=25, sample_rows=100_000)  # cuts every 25 rows or so
@@ -78,7 +79,8 @@ def by_hand(rows):
                 slope(ys[-5:]),
                 slope(ys[i - 4 : i + 1]) if i > 3 else None,
             )
-    return out
+    # Rows without an entity stay and have no history.
+    return out | {r[2]: (None,) * len(features()) for r in rows if r[0] is None}
 
 
 @pytest.mark.parametrize("layout", [DEFAULT_LAYOUT, TINY, Layout(10, 21, 100)], ids=["whole", "cut", "sampled"])
@@ -133,3 +135,21 @@ def test_copies_of_one_key_do_not_flood_the_sample(spark):
     got = running_totals(df, ["k"], {"s": F.col("v")}, group=["p"], layout=TINY)
     assert got.agg(F.max("s")).first()[0] == 3000
     assert got.select("s").distinct().count() == 3000
+
+
+@pytest.mark.parametrize("page", [1, 3])
+def test_cuts_on_many_pages(spark, monkeypatch, page):
+    monkeypatch.setattr(segments, "PAGE", page)
+    rows = panel()
+    df, want = spark.createDataFrame(rows, SCHEMA).repartition(3), by_hand(rows)
+    got = {r["k"]: tuple(r)[4:] for r in h.add_history(df, ["p"], ["d", "k"], features(), layout=TINY).collect()}
+    assert got.keys() == want.keys()
+    for k, expected in want.items():
+        assert got[k] == pytest.approx(expected, abs=1e-9, nan_ok=True), k
+    assert row_numbers(spark.range(2000), ["id"], "n", layout=TINY).filter("n <> id + 1").isEmpty()
+
+
+def test_totals_keep_rows_without_a_group(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), (None, 3, 4), (None, 4, 5)], "p string, k int, v int")
+    got = running_totals(df, ["k"], {"s": F.col("v")}, group=["p"])
+    assert {r["k"]: r["s"] for r in got.collect()} == {1: 2, 2: 5, 3: None, 4: None}
