@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from fieldbook.operators.segments import DEFAULT_LAYOUT, SEGMENT, Layout, Segmented, segment, with_rows_of_none
+from fieldbook.operators.segments import DEFAULT_LAYOUT, SEGMENT, Layout, Segmented, segment
 
 # Row frames by name, for a width of w rows.
 FRAMES: dict[str, Callable[[int], tuple[int, int]]] = {
@@ -146,7 +146,7 @@ def add_history(
     *,
     layout: Layout = DEFAULT_LAYOUT,
 ) -> DataFrame:
-    """Add all ``features`` in one pass: one shuffle by entity, one sort, shared by every frame. Rows without an entity have null features."""
+    """Add all ``features`` in one pass: one shuffle by entity, one sort, shared by every frame. Rows without an entity are left out."""
     framed = [f for f in features if isinstance(f, Framed)]
     streaks = [f for f in features if isinstance(f, Streak)]
     trends = [f for f in features if isinstance(f, ClosingTrend)]
@@ -184,4 +184,4 @@ def add_history(
         rows = rows.join(F.broadcast(hot), cut.entity, "left").withColumns(
             {t.name: F.when(F.col("_divided"), F.col(f"_hot_{t.name}")).otherwise(F.col(t.name)) for t in trends}
         )
-    return with_rows_of_none(rows.select(*df.columns, *[f.name for f in features]), df, entity)
+    return rows.select(*df.columns, *[f.name for f in features])

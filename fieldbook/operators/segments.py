@@ -135,11 +135,6 @@ def has_entity(entity: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in entity], F.lit(True))
 
 
-def with_rows_of_none(out: DataFrame, df: DataFrame, entity: list[str]) -> DataFrame:
-    """``out`` and the rows of ``df`` without an entity, their added columns null: they have no history."""
-    return out.unionByName(df.filter(~has_entity(entity)), allowMissingColumns=True) if entity else out
-
-
 def segment(
     df: DataFrame,
     entity: list[str],
@@ -151,7 +146,7 @@ def segment(
 ) -> Segmented:
     """Cut ordered groups; ``before`` / ``after`` rows of context are copied across each cut.
 
-    Rows without an entity are left out, see ``with_rows_of_none``. ``order`` should end in a unique column: rows with equal
+    Rows without an entity are left out. ``order`` should end in a unique column: rows with equal
     order values have no defined sequence, with or without cuts.
     """
     if max(before, after) >= layout.stride:
@@ -195,7 +190,7 @@ def running_totals(
     group: list[str] = (),
     layout: Layout = DEFAULT_LAYOUT,
 ) -> DataFrame:
-    """Add sums from the first row of the group up to and including the current row; null for rows without a group."""
+    """Add sums from the first row of the group up to and including the current row; rows without a group are left out."""
     cut = segment(df, list(group), order, layout=layout)
     upto = cut.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = cut.rows.withColumns({name: F.sum(value).over(upto) for name, value in totals.items()})
@@ -211,7 +206,7 @@ def running_totals(
         rows = rows.join(F.broadcast(carry), cut.keys, "left").withColumns(
             {name: F.col(name) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0)) for name in totals}
         )
-    return with_rows_of_none(rows.select(*df.columns, *totals), df, list(group))
+    return rows.select(*df.columns, *totals)
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str, *, group: list[str] = (), layout: Layout = DEFAULT_LAYOUT) -> DataFrame:

@@ -79,8 +79,7 @@ def by_hand(rows):
                 slope(ys[-5:]),
                 slope(ys[i - 4 : i + 1]) if i > 3 else None,
             )
-    # Rows without an entity stay and have no history.
-    return out | {r[2]: (None,) * len(features()) for r in rows if r[0] is None}
+    return out
 
 
 @pytest.mark.parametrize("layout", [DEFAULT_LAYOUT, TINY, Layout(10, 21, 100)], ids=["whole", "cut", "sampled"])
@@ -147,9 +146,3 @@ def test_cuts_on_many_pages(spark, monkeypatch, page):
     for k, expected in want.items():
         assert got[k] == pytest.approx(expected, abs=1e-9, nan_ok=True), k
     assert row_numbers(spark.range(2000), ["id"], "n", layout=TINY).filter("n <> id + 1").isEmpty()
-
-
-def test_totals_keep_rows_without_a_group(spark):
-    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), (None, 3, 4), (None, 4, 5)], "p string, k int, v int")
-    got = running_totals(df, ["k"], {"s": F.col("v")}, group=["p"])
-    assert {r["k"]: r["s"] for r in got.collect()} == {1: 2, 2: 5, 3: None, 4: None}
