@@ -190,6 +190,21 @@ def test_personal_data_kinds(spark):
     assert "[CARD]" in kept["text"] and "4111" not in kept["text"] and kept["n_chars"] == len(kept["text"])
 
 
+def test_accounts_before_words_and_listed_numbers(spark):
+    accounts = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29NWBK60161331926819", "NL91ABNA0417164300"]
+    texts = [f"IBAN {accounts[0]} BIC COBADEFFXXX", f"{accounts[1]} BIC: X", f"{accounts[2]} EUR 500", f"{accounts[3]} 2024", f"NO12 {accounts[0]}", f"{accounts[1]} {accounts[2]}", f"ab {accounts[3]}1 NL92ABNA0417164300"]
+    want = [accounts[:1], accounts[1:2], accounts[2:3], accounts[3:], accounts[:1], accounts[1:3], []]
+    texts += ["SSN: 123-45-6789, 234-56-7890 and 345-67-8901", "social security 000-12-3456 void, 123-45-6789", "ssn 123-45-6789, no 234-56-7890", "123-45-6789"]
+    want += [["123-45-6789", "234-56-7890", "345-67-8901"], ["123-45-6789"], ["123-45-6789"], []]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in pii.personal_data(df).collect():
+        spans = [x.split("/")[0].split(":") for x in r["found"].split(",") if x]
+        assert [r["text"][int(a) : int(b)] for k, a, b in spans if k in ("iban", "ssn")] == want[r["doc_id"]], r["text"]
+    for r in pii.masked(df).collect():
+        assert not any(w in r["text"] for w in want[r["doc_id"]]), r["text"]
+        assert r["text"].count("[IBAN]") + r["text"].count("[SSN]") == len(want[r["doc_id"]])
+
+
 def test_fingerprints_of_next_and_edited(docs):
     got = fingerprints.edited(docs).toPandas().sort_values("doc_id")
     texts = [t or "" for t in docs.orderBy("doc_id").toPandas().text]
