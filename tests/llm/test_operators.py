@@ -159,6 +159,34 @@ def test_leaks_with_substituted_and_inserted_words(spark):
     assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()) == [4, 5, 6]
 
 
+def test_leaks_around_replaced_runs_and_of_short_items(spark):
+    def laid(*parts):
+        """Words of an item of that many, those of even parts as they are, of odd parts replaced."""
+        w = [f"t{len(parts)}{sum(parts)}x{i}" for i in range(sum(parts))]
+        kept = [i % 2 == 0 for i, n in enumerate(parts) for _ in range(n)]
+        return " ".join(w), " ".join(x if k else f"other{i}" for i, (x, k) in enumerate(zip(w, kept)))
+
+    pairs = [laid(10, 5, 10), laid(11, 6, 11), laid(10, 5, 10, 5, 10), laid(3, 1, 5)]
+    items = [(i, a) for i, (a, _) in enumerate(pairs)] + [(4, "so few words"), (None, " ".join(f"null{i}" for i in range(20))), (0, " ".join(f"again{i}" for i in range(12)))]
+    benchmark = spark.createDataFrame([*items, (None, None), (9, "")], "item_id bigint, text string")
+    texts = [b for _, b in pairs] + ["they are SO few words here", items[5][1], items[6][1], "so few other words"]
+    docs = spark.createDataFrame([(i, f"before it {t} after") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["item_id"], r["item_words"], r["matched"], r["first_word"]) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == {0: (0, 25, 20, 2), 1: (1, 28, 22, 2), 2: (2, 40, 30, 2), 3: (3, 9, 8, 2), 4: (4, 3, 3, 4), 5: (None, 20, 20, 2), 6: (0, 12, 12, 2)}
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()] == [7]
+
+
+def test_stretches_against_the_best_one_again_and_again():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        same = rng.random(int(rng.integers(0, 40))) < rng.choice([0.5, 0.7, 0.9])
+        got = decontaminate.stretches_of(same)
+        assert all(same[a] and same[b - 1] for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        worth = lambda a, b: int(np.where(same[a:b], 1, -decontaminate.MISMATCH).sum())  # noqa: E731, B023
+        assert max((worth(a, b) for a, b in got), default=0) == max(worth(a, b) for a in range(len(same) + 1) for b in range(a, len(same) + 1))
+        assert sum(same[a:b].sum() for a, b in got) == same.sum()
+
+
 def test_mix_meets_targets(spark, docs):
     got = mixing.mix(docs).toPandas()
     by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"))
