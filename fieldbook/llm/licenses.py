@@ -2,7 +2,10 @@
 
 A header is a stretch of a line around a word that speaks of licences or rights: up to ``BEFORE`` words before it and
 ``AFTER`` words behind it. Its terms and the templates' are weighted by term frequency and inverse document frequency
-over all documents, and the header takes the template with the highest cosine, if that is ``LEAST`` or more. A file's
+over all documents, and the header takes the template with the highest cosine, if that is ``LEAST`` or more. A header
+that names a licence in its usual words (``NAMES``) takes that one whatever the cosine is; of several the nearest, and
+one that only reserves rights comes last. Frequencies are shares of the documents, and a word is never rarer than
+``RAREST``, so the same notice is judged alike in a small and in a large table. A file's
 licence is that of its best header. A licence file is one named so, or one of which headers with a licence make up
 half of the words; it speaks for its directory. A file without a licence inherits from the nearest directory above it
 that has one: the directories' ancestors are joined with the directories that licence files speak for.
@@ -13,8 +16,6 @@ file with the texts of all of them and give a row each. Extra columns are ignore
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,21 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved. Copyright. Unauthorized copying is prohibited.",
 }
+_S = r"[\s,;/*#-]+"
+#: How a licence is named, between letters and digits of other words.
+NAMES = {
+    "Apache-2.0": r"apache (?:software )?licen[sc]e|apache 2\.0",
+    "BSD-3-Clause": r"bsd 3 clause|3 clause bsd|redistribution and use in source and binary",
+    "CC-BY-4.0": r"(?:creative commons attribution|cc by) (?:4\.0|international)",
+    "CC-BY-NC-4.0": r"(?:creative commons attribution|cc by) (?:nc|noncommercial|non commercial)",
+    "GPL-3.0": r"gnu general public licen[sc]e|gpl 3\.0|gplv3",
+    "LGPL-3.0": r"gnu lesser general public licen[sc]e|lgpl 3\.0|lgplv3",
+    "MIT": r"mit licen[sc]ed?|licen[sc]e identifier: mit|permission is hereby granted free of charge",
+    "MPL-2.0": r"mozilla public licen[sc]e|mpl 2\.0",
+    "Proprietary": r"all rights reserved",
+}
 MARK = r"(?i:licen[sc]|copyright|all rights reserved|creative commons|public domain|permission is hereby|redistribution)"
-BEFORE, AFTER, LEAST = 8, 20, 0.35
+BEFORE, AFTER, LEAST, RAREST = 8, 20, 0.35, 1 / 200
 HEADER = rf"(?:[^\s]+[ \t]+){{0,{BEFORE}}}?[^\s]*{MARK}[^\s]*(?:[ \t]+[^\s]+){{0,{AFTER}}}"
 NAMED = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice)[^/]*$"
 _BREAK = "[^a-z0-9.-]+|[.]+(?![0-9])"
@@ -43,21 +57,18 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _BREAK), lambda t: t != "")
 
 
-def template_terms(docs: DataFrame) -> tuple[DataFrame, float]:
-    """template, term, weight of unit vectors, and idf; the idf of any other term. Document frequencies are over all documents."""
-    spark = docs.sparkSession
-    listed = spark.createDataFrame(list(TEMPLATES.items()), "template string, notice string")
-    tf = listed.select("template", F.explode(terms_of(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count(F.lit(1)).alias("tf"))
-    words = sorted({r["term"] for r in tf.select("term").distinct().collect()})
-    known = F.array(*(F.lit(w) for w in words))
+def idf_of(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """term, idf of every term: from the share of all documents that have it, so that copies of the whole table change nothing."""
     given = documents_only(docs, "text")
-    found = given.select(F.explode(F.array_intersect(terms_of(F.coalesce("text", F.lit(""))), known)).alias("term"))
-    df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # the templates' words
-    total = given.count()
-    idf = spark.createDataFrame([(w, math.log((1 + total) / (1 + df.get(w, 0))) + 1) for w in words], "term string, idf double")
-    weighed = tf.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    return weighed.join(norms, "template").select("template", "term", (F.col("weight") / F.col("norm")).alias("weight"), "idf"), math.log(1 + total) + 1
+    total = max(given.count(), 1)
+    found = given.select(F.explode(F.array_distinct(terms_of(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return terms.join(found, "term", "left").select("term", (1 - F.log(F.greatest(F.coalesce("n", F.lit(0)) / total, F.lit(RAREST)))).alias("idf"))
+
+
+def named_in(header: Column) -> Column:
+    """The licences that a header names."""
+    pattern = lambda name: "(?i)(?<![a-z0-9])(?:" + NAMES[name].replace(" ", _S) + ")(?![a-z0-9])"
+    return F.array_compact(F.array(*(F.when(header.rlike(pattern(n)), F.lit(n)) for n in NAMES)))
 
 
 def headers_of(files: DataFrame) -> DataFrame:
@@ -70,18 +81,24 @@ def headers_of(files: DataFrame) -> DataFrame:
 
 def own_licences(files: DataFrame, docs: DataFrame) -> DataFrame:
     """path, licence, score of the best header, and whether the file is a licence file."""
-    templates, other = template_terms(docs)
-    templates = written(templates, "licence-templates")
-    idf = F.broadcast(templates.groupBy("term").agg(F.first("idf").alias("idf")))  # as many rows as the templates have words
     headers = headers_of(files).groupBy("path", "header").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("times"))
     headers = written(headers.withColumn("id", F.xxhash64("path", "header")), "licence-headers")
     tf = headers.select("id", F.explode(terms_of(F.col("header"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = tf.join(idf, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    listed = files.sparkSession.createDataFrame(list(TEMPLATES.items()), "template string, notice string")
+    sides = listed.select("template", F.explode(terms_of(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = written(idf_of(tf.select("term").union(sides.select("term")).distinct(), docs), "licence-terms")
+    weighed = tf.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    sides = templates.select("template", "term", F.col("weight").alias("side"))
+    sides = sides.join(idf, "term").withColumn("side", F.col("tf") * F.col("idf"))
+    lengths = sides.groupBy("template").agg(F.sqrt(F.sum(F.col("side") ** 2)).alias("length"))
+    sides = written(sides.join(lengths, "template").select("template", "term", (F.col("side") / F.col("length")).alias("side")), "licence-templates")
     dots = weighed.join(F.broadcast(sides), "term").groupBy("id", "template").agg(F.sum(F.col("weight") * F.col("side")).alias("dot"))
-    cosines = dots.join(norms, "id").select("id", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST)
-    best = cosines.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("below"), "template")).alias("b"))
+    cosines = dots.join(norms, "id").select("id", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
+    named = headers.select("id", F.explode(named_in(F.col("header"))).alias("template")).withColumn("named", F.lit(True))
+    judged = cosines.join(named, ["id", "template"], "full").select("id", "template", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("named", F.lit(False)).alias("named"))
+    after = F.when(~F.col("named"), 2).when(F.col("template") == "Proprietary", 1).otherwise(0)
+    fitting = judged.where(F.col("named") | (F.col("cosine") >= LEAST))
+    best = fitting.groupBy("id").agg(F.min(F.struct(after.alias("after"), (-F.col("cosine")).alias("below"), "template")).alias("b"))
     known = headers.join(best, "id").select("path", "n_words", F.regexp_count("header", F.lit(r"\S+")).alias("words"), "times", "b")
     files_ = known.groupBy("path").agg(F.min("b").alias("b"), F.sum(F.col("words") * F.col("times")).alias("words"), F.max("n_words").alias("n_words"))
     speaks = F.col("path").rlike(NAMED) | (2 * F.col("words") >= F.col("n_words"))

@@ -252,6 +252,22 @@ def test_licences_are_found_and_inherited(spark):
     assert got == {1: ("MIT", "own", "a/LICENSE"), 2: inherited, 3: ("Apache-2.0", "own", "a/b/own.py"), 4: (None, None, None), 5: (None, None, None), 6: inherited}
 
 
+def test_licences_do_not_depend_on_the_number_of_documents(spark):
+    notices = {
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "Proprietary", "# Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "under the GNU General Public License, version 3": "GPL-3.0", "under the GNU Lesser General Public License, version 3": "LGPL-3.0", "subject to the Mozilla Public License": "MPL-2.0",
+        "Copyright X. All rights reserved. Under the MIT License.": "MIT", "ein Text mit vielen Worten und keiner License von uns": None, "a license to sing all day": None,
+    }
+    files = spark.createDataFrame([(i, f"a/{i}.txt", f"{n}\n" + "word " * 50) for i, n in enumerate(notices)], "doc_id bigint, path string, text string")
+    prose = spark.createDataFrame([(100 + i, f"the words under of version {i} and so on") for i in range(190)], "doc_id bigint, text string")
+    docs = files.select("doc_id", "text").union(prose)
+    many = docs.crossJoin(spark.range(1000).select(F.lit(1).alias("copy"))).select("doc_id", "text")
+    more = docs.union(spark.range(1000, 300_000).select("id", F.lit("plain words of no kind").alias("text")))
+    once, again, rare = ({r["doc_id"]: (r["licence"], r["score"]) for r in licenses.scan(files, d).collect()} for d in (docs, many, more))
+    assert once == again
+    assert [once[i][0] for i in range(len(notices))] == [rare[i][0] for i in range(len(notices))] == list(notices.values())
+
+
 def test_pipeline_against_its_stages(spark, docs):
     """Every decision of the stages is checked on the documents that a stage was given."""
     kept = {r["doc_id"]: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
