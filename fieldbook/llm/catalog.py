@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import decontaminate, fingerprints, language, licenses, mixing, ngram_join, pii, quality, toxicity, urls
+from fieldbook.llm import alignment, decontaminate, fingerprints, language, licenses, mixing, ngram_join, pii, quality, toxicity, urls
 from fieldbook.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,17 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_decontamination, op4_ngram_join, op5_fingerprints, op6_url_filters, op7_language, op8_mixing, op9_licenses, op10_quality)}
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.digest(table(spark, folder, "documents"), alignment.public_tokenizers(spark))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_pii, op3_decontamination, op4_ngram_join, op5_fingerprints, op6_url_filters, op7_language, op8_mixing, op9_licenses, op10_quality,
+        op11_alignment,
+    )
+}
 
 
 def _spans_sql(kind: str, pattern: str, valid: str) -> str:
