@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import alignment, decontaminate, fingerprints, language, licenses, mixing, ngram_join, pii, quality, toxicity, urls
+from fieldbook.llm import alignment, decontaminate, fingerprints, language, licenses, mixing, ngram_join, pii, quality, toxicity, urls, warc
 from fieldbook.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +60,15 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.digest(table(spark, folder, "documents"), alignment.public_tokenizers(spark))
 
 
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_pii, op3_decontamination, op4_ngram_join, op5_fingerprints, op6_url_filters, op7_language, op8_mixing, op9_licenses, op10_quality,
-        op11_alignment,
+        op11_alignment, op12_warc,
     )
 }
 
@@ -148,4 +152,13 @@ FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 LEFT JOIN places q ON s.source IS NOT DISTINCT FROM q.source AND s.place = q.place
 """
 
-ORACLES = {"op2_pii": PII_SQL, "op4_ngram_join": NEAR_SQL, "op8_mixing": MIX_SQL}
+WARC_SQL = f"""
+WITH each AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM each WHERE payload_bytes >= {warc.LEAST_REVISITED} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f.first IS NULL OR page_id IS NOT DISTINCT FROM f.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
+FROM each LEFT JOIN firsts f USING (payload_digest)
+"""
+
+ORACLES = {"op2_pii": PII_SQL, "op4_ngram_join": NEAR_SQL, "op8_mixing": MIX_SQL, "op12_warc": WARC_SQL}
