@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import alignment, decontaminate, fingerprints, language, licenses, mixing, ngram_join, pii, quality, toxicity, urls, warc
+from fieldbook.llm import alignment, decontaminate, fingerprints, language, licenses, mixing, ngram_join, pii, prefix_trie, quality, toxicity, urls, warc
 from fieldbook.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,11 +64,15 @@ def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_pii, op3_decontamination, op4_ngram_join, op5_fingerprints, op6_url_filters, op7_language, op8_mixing, op9_licenses, op10_quality,
-        op11_alignment, op12_warc,
+        op11_alignment, op12_warc, op13_prefix_trie,
     )
 }
 
@@ -161,4 +165,35 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN f.first IS NULL OR page
 FROM each LEFT JOIN firsts f USING (payload_digest)
 """
 
-ORACLES = {"op2_pii": PII_SQL, "op4_ngram_join": NEAR_SQL, "op8_mixing": MIX_SQL, "op12_warc": WARC_SQL}
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT))"""
+
+TRIE_SQL = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o.i, o.role, o.txt FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.i, o.role, o.txt FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h),
+placed AS (
+  SELECT conv_id, row_number() OVER w AS d, length(txt) AS n,
+         md5(string_agg(md5(length(role) || ':' || role || txt), '') OVER (PARTITION BY conv_id ORDER BY part, i)) AS key
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+members AS (SELECT conv_id, d, n, key FROM placed UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+members_up AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS up, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM members),
+nodes AS (
+  SELECT key, d, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members_up GROUP BY key, d),
+children AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT m.key, sum(n.saved) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.d <= n.d LEFT JOIN children c ON c.up = n.key GROUP BY m.key)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.key = n.up LEFT JOIN children c ON c.up = n.key JOIN below b ON b.key = n.key
+"""
+
+ORACLES = {"op2_pii": PII_SQL, "op4_ngram_join": NEAR_SQL, "op8_mixing": MIX_SQL, "op12_warc": WARC_SQL, "op13_prefix_trie": TRIE_SQL}
