@@ -1,23 +1,30 @@
 """Penalised linear models from second moments.
 
-A linear fit needs only the sums of products of its columns. They are taken once per fold, on the
-executors; a whole grid of penalties with its cross-validation is then solved on matrices of
-(features + 2) squared. One scan replaces one scan per setting and fold.
+A linear fit needs only the counts, means and centred products of its columns. They are taken once per fold, on the
+executors, and merged without cancellation; a whole grid of penalties with its cross-validation is then solved on
+matrices of (features + 1) squared. One scan replaces one scan per setting and fold. Each solution comes with its
+duality gap, the most by which its penalised error can lie above the least.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.functions.numeric import linear_score
 
+# Moments are merged inside tasks; they travel with them, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Penalty:
@@ -47,81 +54,172 @@ class GridResult:
     best: Penalty
     best_mse: float
     table: list[tuple[float, float, float]]  # alpha, l1_ratio, mean squared error over folds
+    gaps: list[float]  # of each row of the table, the widest over folds
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Rows, means and centred products of (features, label); adding two of them merges their rows."""
+
+    n: float
+    mean: np.ndarray
+    products: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        step = other.mean - self.mean
+        return Moments(n, self.mean + step * (other.n / n), self.products + other.products + np.outer(step, step) * (self.n * other.n / n))
+
+    def row(self) -> list[float]:
+        return [self.n, *self.mean, *self.products.ravel()]
+
+    @staticmethod
+    def of_row(values: np.ndarray, width: int) -> Moments:
+        return Moments(float(values[0]), values[1 : width + 1].copy(), values[width + 1 :].reshape(width, width).copy())
+
+
+def merged(parts: Sequence[Moments]) -> Moments:
+    return reduce(Moments.__add__, parts)
+
 
+#: Groups in which the parts of tasks are merged before those of a fold.
+_MERGERS = 64
+_PARTS = "fold int, part int, m array<double>"
 
-def moments(df: DataFrame, features: Sequence[str], label: str, fold: str | None = None) -> dict[int, np.ndarray]:
-    """Per fold, the sums of products of (1, features, label). Rows with a null or NaN among these or without a fold are left out."""
+
+def moments(df: DataFrame, features: Sequence[str], label: str, fold: str | None = None) -> dict[int, Moments]:
+    """Per fold, the moments of (features, label). Rows with a null or NaN among these or without a fold are left out.
+
+    The columns travel as one array, and incomplete rows are found inside the task: a filter over many columns makes the
+    optimizer derive its constraints for every alias of every column.
+    """
     names = [*features, label]
-    width = len(names) + 1
-    picked = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("_f"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(names)]).dropna()
+    width = len(names)
+    picked = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"), F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("v"))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+    def rows(found: dict[int, Moments], part: int) -> pa.RecordBatch:
+        columns = [pa.array(list(found), pa.int32()), pa.array([part] * len(found), pa.int32()), pa.array([m.row() for m in found.values()], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["fold", "part", "m"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, Moments] = {}
         for batch in batches:
-            for number, part in batch.groupby("_f"):
-                z = np.column_stack([np.ones(len(part)), part.drop(columns="_f").to_numpy(float)])
-                sums[number] = sums.get(number, 0.0) + z.T @ z
-        if sums:
-            yield pd.DataFrame({"_f": list(sums), "products": [s.ravel() for s in sums.values()]})
-
-    parts = picked.mapInPandas(partial, "_f int, products array<double>")
-    cells = parts.select("_f", F.posexplode("products").alias("place", "v")).groupBy("_f", "place").agg(F.sum("v").alias("v"))
-    total: dict[int, np.ndarray] = {}
-    for row in cells.collect():  # folds * (features + 2) ** 2 numbers
-        total.setdefault(row["_f"], np.zeros(width * width))[row["place"]] = row["v"]
-    return {f: s.reshape(width, width) for f, s in total.items()}
-
-
-def _centred(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-    return n, mean, m[1:, 1:] - n * np.outer(mean, mean)
-
-
-def _descend(xx: np.ndarray, xy: np.ndarray, lasso: np.ndarray, ridge: np.ndarray, sweeps: int = 2000, tolerance: float = 1e-7) -> np.ndarray:
-    """Cyclic coordinate descent on many problems at once: ``xx`` (problems, d, d), the rest per problem."""
-    w, gradient = np.zeros_like(xy), xy.copy()
-    diagonal = np.einsum("pjj->pj", xx)
-    scale = np.maximum(np.abs(xy).max(axis=1), 1e-300)
-    open_ = np.arange(len(xy))
-    for _ in range(sweeps):
-        a, v, g, d = xx[open_], w[open_], gradient[open_], diagonal[open_]
-        moved = np.zeros(len(open_))
-        for j in range(xy.shape[1]):
-            rho = g[:, j] + d[:, j] * v[:, j]
-            weight = d[:, j] + ridge[open_]
-            shrunk = np.sign(rho) * np.maximum(np.abs(rho) - lasso[open_], 0.0)
-            new = np.divide(shrunk, weight, out=np.zeros_like(rho), where=weight > 1e-12)
-            step = new - v[:, j]
-            g -= a[:, :, j] * step[:, None]
-            moved = np.maximum(moved, np.abs(step) * d[:, j])
-            v[:, j] = new
-        w[open_], gradient[open_] = v, g
-        open_ = open_[moved > tolerance * scale[open_]]
-        if not len(open_):
+            folds = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            z = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            whole = ~(np.isnan(z).any(axis=1) | np.isnan(folds))
+            for number in np.unique(folds[whole]):
+                here = z[whole & (folds == number)]
+                mean = here.mean(axis=0)
+                m = Moments(float(len(here)), mean, (here - mean).T @ (here - mean))
+                found[int(number)] = found[int(number)] + m if int(number) in found else m
+        yield rows(found, TaskContext.get().partitionId() % _MERGERS)
+
+    def merge(parts: pa.Table) -> pa.Table:
+        m = merged([Moments.of_row(np.array(x), width) for x in parts["m"].to_pylist()])
+        return pa.Table.from_batches([rows({parts["fold"][0].as_py(): m}, 0)])
+
+    parts = picked.mapInArrow(partial, _PARTS).groupBy("fold", "part").applyInArrow(merge, _PARTS).groupBy("fold").applyInArrow(merge, _PARTS)
+    return {row["fold"]: Moments.of_row(np.array(row["m"]), width) for row in parts.orderBy("fold").collect()}  # folds * (features + 2) ** 2 numbers
+
+
+def _value(h: np.ndarray, c: np.ndarray, lasso: float, w: np.ndarray) -> float:
+    return float(w @ h @ w / 2 - c @ w + lasso * np.abs(w).sum())
+
+
+def _active_set(h: np.ndarray, c: np.ndarray, lasso: float, w: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """The least of w·h·w / 2 - c·w + lasso * |w|, from a start.
+
+    Weights other than 0 form the active set. Their problem is solved with the signs held; a step ends where the value is
+    least among its end and the places where a weight becomes 0, which then leaves the set. When all of the set is at rest,
+    the weight whose slope exceeds the penalty most enters. Dependent columns make the set's matrix singular: then the step
+    goes along the slope that no product explains, up to the place where a weight becomes 0.
+    """
+    w, scale = w.copy(), max(float(np.abs(c).max(initial=0.0)), 1e-300)
+    sign = np.sign(w)
+    for _ in range(100 * (len(c) + 1)):
+        slope = c - h @ w
+        active = np.flatnonzero(sign)
+        rest = slope[active] - lasso * sign[active]
+        if not len(active) or np.abs(rest).max() <= tolerance * scale:
+            outside = np.where(sign == 0, np.abs(slope) - lasso, -np.inf)
+            j = int(np.argmax(outside))
+            if outside[j] <= tolerance * scale:
+                return w
+            sign[j] = np.sign(slope[j])
+            continue
+        size, axes = np.linalg.eigh(h[np.ix_(active, active)])
+        along = size > 1e-10 * size[-1]
+        flat = axes[:, ~along] @ (axes[:, ~along].T @ rest)
+        if np.abs(flat).max() > 1e-6 * lasso:
+            step, end = flat, np.inf
+        else:
+            step, end = axes[:, along] @ (axes[:, along].T @ rest / size[along]), 1.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            zero = -w[active] / step
+        crossings = np.sort(zero[(zero > 0) & (zero < end)])
+        places = [*crossings.tolist(), 1.0] if end == 1.0 else crossings[:1].tolist()
+        before, best, reached = _value(h, c, lasso, w), None, np.inf
+        for t in places:
+            tried = w.copy()
+            tried[active] = w[active] + t * step
+            tried[active[np.abs(zero - t) <= 1e-12 * max(1.0, t)]] = 0.0
+            value = _value(h, c, lasso, tried)
+            if value < reached:
+                best, reached = tried, value
+        if best is None or reached >= before:
+            # no step gets lower in floating point: the newest weights go back, which leaves the start
             return w
-    raise ArithmeticError(f"{len(open_)} of {len(w)} problems did not converge in {sweeps} sweeps")
+        w, sign = best, np.sign(best)
+    return w
+
+
+def duality_gap(h: np.ndarray, c: np.ndarray, yy: float, lasso: float, w: np.ndarray) -> float:
+    """How far the value at w can lie above the least one, as a share of the label's variance: a certificate that needs no other solver."""
+    slope = c - h @ w
+    rest, with_label = yy - 2 * c @ w + w @ h @ w, yy - c @ w
+    if lasso == 0:
+        best = c @ np.linalg.pinv(h, rcond=1e-13, hermitian=True) @ c
+        return max(0.0, float(w @ h @ w / 2 - c @ w + best / 2)) / max(yy, 1e-300)
+    if rest <= 0:
+        return float("inf") if yy > 0 else 0.0
+    most = lasso / max(float(np.abs(slope).max(initial=0.0)), 1e-300)
+    share = min(max(with_label / rest, -most), most)
+    dual = share * with_label - share * share * rest / 2
+    return max(0.0, float(_value(h, c, lasso, w) + yy / 2 - dual)) / max(yy, 1e-300)
+
+
+@dataclass(frozen=True)
+class Solution:
+    weights: np.ndarray
+    intercept: float
+    gap: float
+
+    def __iter__(self) -> Iterator:
+        return iter((self.weights, self.intercept))
+
 
+def solve_path(m: Moments, penalties: Sequence[Penalty]) -> list[Solution]:
+    """The solution for each penalty: from the strongest down, each one starting where the last ended."""
+    h, c, yy = m.products[:-1, :-1] / m.n, m.products[:-1, -1] / m.n, float(m.products[-1, -1] / m.n)
+    found: dict[Penalty, Solution] = {}
+    w = np.zeros(len(c))
+    for p in sorted(set(penalties), key=lambda p: (p.ridge, p.l1_ratio, -p.alpha)):
+        lasso = 0.0 if p.ridge else p.alpha * p.l1_ratio
+        here = h + np.eye(len(c)) * (p.alpha / m.n if p.ridge else p.alpha * (1 - p.l1_ratio))
+        w = _active_set(here, c, lasso, w) if lasso else np.linalg.lstsq(here, c, rcond=1e-13)[0]
+        found[p] = Solution(w, float(m.mean[-1] - m.mean[:-1] @ w), duality_gap(here, c, yy, lasso, w))
+    return [found[p] for p in penalties]
 
-def solve(products: Sequence[np.ndarray], penalties: Sequence[Penalty]) -> list[tuple[np.ndarray, float]]:
-    """(weights, intercept) of each problem: products of its rows, and its penalty."""
-    parts = [_centred(m) for m in products]
-    xx, xy = np.stack([s[:-1, :-1] for _, _, s in parts]), np.stack([s[:-1, -1] for _, _, s in parts])
-    n = np.array([size for size, _, _ in parts])
-    w = np.zeros_like(xy)
-    squared = np.array([p.ridge for p in penalties])
-    alpha, share = np.array([p.alpha for p in penalties]), np.array([p.l1_ratio for p in penalties])
-    for i in np.flatnonzero(squared):
-        w[i] = np.linalg.solve(xx[i] + alpha[i] * np.eye(xy.shape[1]), xy[i])
-    mixed = np.flatnonzero(~squared)
-    if len(mixed):
-        w[mixed] = _descend(xx[mixed], xy[mixed], (n * alpha * share)[mixed], (n * alpha * (1 - share))[mixed])
-    return [(w[i], float(mean[-1] - mean[:-1] @ w[i])) for i, (_, mean, _) in enumerate(parts)]
 
+def solve(products: Sequence[Moments], penalties: Sequence[Penalty]) -> list[Solution]:
+    """(weights, intercept) of each problem: moments of its rows, and its penalty."""
+    return [solve_path(m, [p])[0] for m, p in zip(products, penalties)]
 
-def squared_error(m: np.ndarray, w: np.ndarray, intercept: float) -> float:
-    """Mean squared error of a model on the rows behind the products."""
-    v = np.concatenate([[-intercept], -w, [1.0]])
-    return float(v @ m @ v / m[0, 0])
+
+def squared_error(m: Moments, w: np.ndarray, intercept: float) -> float:
+    """Mean squared error of a model on the rows behind the moments."""
+    v = np.append(-w, 1.0)
+    return float(v @ m.products @ v / m.n + (v @ m.mean - intercept) ** 2)
 
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, fold: str, grid: Sequence[Penalty]) -> GridResult:
@@ -129,18 +227,24 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, fold: str, g
     return search_moments(moments(df, features, label, fold), features, grid)
 
 
-def search_moments(per_fold: dict[int, np.ndarray], features: Sequence[str], grid: Sequence[Penalty]) -> GridResult:
-    whole = sum(per_fold.values())
-    problems = [(held_out, p) for held_out in per_fold.values() for p in grid]
-    solved = solve([whole - held_out for held_out, _ in problems], [p for _, p in problems])
+def search_moments(per_fold: dict[int, Moments], features: Sequence[str], grid: Sequence[Penalty], most_gap: float = 1e-6) -> GridResult:
+    """Every penalty solved without each fold and measured on it. A solution whose gap exceeds ``most_gap`` is an error."""
     errors: dict[Penalty, list[float]] = {p: [] for p in grid}
-    for (held_out, p), (w, intercept) in zip(problems, solved):
-        errors[p].append(squared_error(held_out, w, intercept))
+    gaps: dict[Penalty, float] = dict.fromkeys(grid, 0.0)
+    for held_out, there in per_fold.items():
+        rest = merged([m for f, m in per_fold.items() if f != held_out])
+        for p, found in zip(grid, solve_path(rest, grid)):
+            errors[p].append(squared_error(there, found.weights, found.intercept))
+            gaps[p] = max(gaps[p], found.gap)
     mean = {p: float(np.mean(e)) for p, e in errors.items()}
     best = min(grid, key=mean.__getitem__)
-    [(w, intercept)] = solve([whole], [best])
-    model = LinearModel(tuple(features), tuple(float(x) for x in w), intercept)
-    return GridResult(model, best, mean[best], [(p.alpha, p.l1_ratio, mean[p]) for p in grid])
+    [last] = solve_path(merged(list(per_fold.values())), [best])
+    gaps[best] = max(gaps[best], last.gap)
+    wide = {p: g for p, g in gaps.items() if g > most_gap}
+    if wide:
+        raise ArithmeticError(f"not solved to a gap of {most_gap}: {wide}")
+    model = LinearModel(tuple(features), tuple(float(x) for x in last.weights), last.intercept)
+    return GridResult(model, best, mean[best], [(p.alpha, p.l1_ratio, mean[p]) for p in grid], [gaps[p] for p in grid])
 
 
 ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -175,7 +279,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 100_000):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + top * d
             d = 1.0 / (d if abs(d) > tiny else tiny)
@@ -183,8 +287,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the fraction at {a}, {b}, {x} does not converge")
 
 
 def two_sided_p(t: float, freedom: float) -> float:
@@ -199,23 +303,62 @@ def two_sided_p(t: float, freedom: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-def least_squares(df: DataFrame, features: Sequence[str], label: str, level: float = 0.06) -> DataFrame:
-    """(feature, coefficient, std_error, t_value, p_value, significant) with an intercept row first.
-
-    Collinear columns share their weight (minimum-norm solution) instead of failing.
-    """
+@dataclass(frozen=True)
+class LeastSquares:
+    """Weights with their errors, the intercept first, and how well they fit."""
+
+    names: tuple[str, ...]
+    weights: np.ndarray
+    errors: np.ndarray
+    n: float
+    freedom: float
+    r2: float
+    rank: int
+    variance: float
+
+    @property
+    def adjusted_r2(self) -> float:
+        return 1 - (1 - self.r2) * (self.n - 1) / self.freedom
+
+    @property
+    def f_value(self) -> float:
+        """Explained over unexplained variance; infinite for an exact fit."""
+        return self.r2 / self.rank / ((1 - self.r2) / self.freedom) if self.r2 < 1 and self.rank else math.inf
+
+
+def fit_least_squares(df: DataFrame, features: Sequence[str], label: str) -> LeastSquares:
+    """Collinear columns share their weight (minimum-norm solution) instead of failing; their number counts once."""
     m = moments(df, features, label)[0]
-    xx, xy = m[:-1, :-1], m[:-1, -1]
-    inverse = np.linalg.pinv(xx, rcond=1e-12, hermitian=True)
+    xx, xy, yy = m.products[:-1, :-1], m.products[:-1, -1], m.products[-1, -1]
+    scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+    inverse = np.linalg.pinv(xx / np.outer(scale, scale), rcond=1e-11, hermitian=True) / np.outer(scale, scale)
+    rank = int(np.linalg.matrix_rank(xx / np.outer(scale, scale), tol=1e-11 * len(xx), hermitian=True))
     w = inverse @ xy
-    freedom = float(m[0, 0] - np.linalg.matrix_rank(xx, tol=1e-12 * np.linalg.norm(xx, 2), hermitian=True))
-    variance = max(float(m[-1, -1] - w @ xy), 0.0) / freedom
-    errors = np.sqrt(np.maximum(np.diag(inverse) * variance, 0.0))
+    freedom = float(m.n - 1 - rank)
+    unexplained = max(float(yy - w @ xy), 0.0)
+    variance = unexplained / freedom
+    mean = m.mean[:-1]
+    diagonal = np.concatenate([[1 / m.n + mean @ inverse @ mean], np.diag(inverse)])
+    weights = np.concatenate([[m.mean[-1] - mean @ w], w])
+    r2 = 1 - unexplained / float(yy) if yy > 0 else 0.0
+    return LeastSquares(("intercept", *features), weights, np.sqrt(np.maximum(diagonal * variance, 0.0)), m.n, freedom, r2, rank, variance)
+
+
+def least_squares(df: DataFrame, features: Sequence[str], label: str, level: float = 0.06) -> DataFrame:
+    """(feature, coefficient, std_error, t_value, p_value, significant) with an intercept row first."""
+    fit = fit_least_squares(df, features, label)
     rows = []
-    for name, b, e in zip(["intercept", *features], w, errors):
+    for name, b, e in zip(fit.names, fit.weights, fit.errors):
         t = float(b / e) if e > 0 else None
-        p = two_sided_p(t, freedom) if t is not None else None
+        p = two_sided_p(t, fit.freedom) if t is not None else None
         rows.append((name, float(b), float(e), t, p, p is not None and p <= level))
     return df.sparkSession.createDataFrame(
         rows, "feature string, coefficient double, std_error double, t_value double, p_value double, significant boolean"
     )
+
+
+def fit_summary(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(n, features, r2, adjusted_r2, f_value, residual_error): how well least squares explain the label."""
+    fit = fit_least_squares(df, features, label)
+    row = (int(fit.n), fit.rank, fit.r2, fit.adjusted_r2, fit.f_value, math.sqrt(fit.variance))
+    return df.sparkSession.createDataFrame([row], "n bigint, features int, r2 double, adjusted_r2 double, f_value double, residual_error double")

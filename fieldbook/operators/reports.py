@@ -12,8 +12,8 @@ from fieldbook.functions.text import dnf_label, fixed_point
 from fieldbook.operators.relational import numeric_columns, require_columns, with_table_value
 from fieldbook.operators.stats import describe, key_correlation, strongest_drivers
 
-IMPROVE = "**Improve %s:** its correlation with {key} is %.2f, so {key} tends to fall where it rises."
-REDUCE = "**Reduce %s:** its correlation with {key} is %.2f, so {key} tends to fall where it falls."
+IMPROVE = "**Improve %s:** strong negative correlation (%.2f) with {key}, which tends to fall where it rises."
+REDUCE = "**Reduce %s:** strong positive correlation (%.2f) with {key}, which tends to fall where it falls."
 NONE_FOUND = "No feature passes the threshold on these rows."
 HEADING = "Between %s %s and %s %s, these features matter."
 
