@@ -175,7 +175,7 @@ WITH own AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 convs AS (SELECT conv_id, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)),
 rebuilt AS (
-  SELECT c.conv_id, 0 AS part, o.i, o.role, o.txt FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.i <= c.h
+  SELECT c.conv_id, 0 AS part, o.i, o.role, o.txt FROM convs c JOIN own o ON o.conv_id = c.conv_id - (c.conv_id % 100 + 100) % 100 AND o.i <= c.h
   UNION ALL SELECT c.conv_id, 1, o.i, o.role, o.txt FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h),
 placed AS (
   SELECT conv_id, row_number() OVER w AS d, length(txt) AS n,

@@ -58,8 +58,8 @@ def rebuilt(conversations: DataFrame, family: int = 100, longest: int = 6) -> Da
     """conv_id, path (16 bytes for each turn), lengths: the first turns of each family's first conversation, then the own ones."""
     own = written(turns_of(conversations), "trie-turns")
     head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % longest
-    first = own.where(F.col("conv_id") % family == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, longest - 1).alias("shared"))
-    rows = own.withColumn("h", head.cast("int")).withColumn("base", F.col("conv_id") - F.col("conv_id") % family).join(first, "base", "left")
+    first = own.where(F.pmod("conv_id", F.lit(family)) == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, longest - 1).alias("shared"))
+    rows = own.withColumn("h", head.cast("int")).withColumn("base", F.col("conv_id") - F.pmod("conv_id", F.lit(family))).join(first, "base", "left")
     none = F.slice("turns", 1, 0)
     shared = F.coalesce(F.slice("shared", 1, F.col("h")), none)
     rest = F.when(F.size("turns") > F.col("h"), F.slice("turns", F.col("h") + 1, F.size("turns"))).otherwise(none)
@@ -75,8 +75,9 @@ class Shard:
         depth = np.diff(bounds)
         ids = np.frombuffer(b"".join(paths), dtype=">u8").astype(np.uint64).reshape(-1, 2)
         self.levels: list[dict[str, np.ndarray]] = [{"first": np.zeros(1, dtype=np.int64), "n": np.array([len(convs)]), "length": np.zeros(1, dtype=np.int64)}]
-        order = np.argsort(convs, kind="stable")
-        rows, group, at = np.arange(len(convs)), np.zeros(len(convs), dtype=np.int64), 0
+        order = np.lexsort((convs, depth > 0))  # those without turns stand before all others
+        rows = np.arange((depth == 0).sum(), len(convs))
+        group, at = np.zeros(len(rows), dtype=np.int64), 0
         while len(rows):
             # rows: places in the order of those that go on, which stand together by group; they are sorted among themselves
             here = order[rows]
@@ -88,7 +89,8 @@ class Shard:
             matrix[inside] = ids[source[inside]]
             size = np.zeros((len(rows), width), dtype=np.int64)
             size[inside] = lengths[source[inside]]
-            keys = [convs[here], *(matrix[:, j, k] for j in reversed(range(width)) for k in (1, 0)), group]
+            further = depth[here] > at + width  # those that end here stand before those that go on
+            keys = [convs[here], further, *(matrix[:, j, k] for j in reversed(range(width)) for k in (1, 0)), group]
             by = np.lexsort(keys)
             order[rows], matrix, held, size, group = here[by], matrix[by], held[by], size[by], group[by]
             change = np.ones((len(rows), width), dtype=bool)
