@@ -8,8 +8,10 @@ bucket of each source is summed again by its next bits. The thresholds of smalle
 ones, so that a mix of less is part of a mix of more.
 
 A null or empty text has size 0 and takes 0; a null source is a source of its own, the last; a null doc_id is hashed as
-an id of its own. Rows with the same id and source are decided alike. An empty table gives no rows, and extra columns
-are ignored.
+an id of its own. Rows that share the id at the threshold are told apart in the same way by a hash of their texts, and equal
+rows by their place in a written table, so that a source meets its target however many rows have one id; reruns take the same
+rows. An empty table gives no rows. Extra columns, of whatever name, stay where documents are returned, but for the four
+that the mix adds.
 """
 
 from __future__ import annotations
@@ -81,10 +83,9 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return done.unionByName(last)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """Adds the columns size and place to source and doc_id."""
-    given = documents_only(docs, "doc_id", "text", "source")
-    return given.select("doc_id", "source", word_count(F.col("text")).alias("size"), place_of(F.col("doc_id")).alias("place"))
+def text_place(text: Column) -> Column:
+    """A number below 2**HASH_BITS that depends on the text only."""
+    return F.conv(F.substr(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.lit(1), F.lit(HASH_BITS // 4)), 16, 10).cast("long")
 
 
 def plan_of(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -104,23 +105,74 @@ def plan_of(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return written(plan.select(F.col("p.source").alias("of"), "source_size", "target", "passes", F.coalesce("c.threshold", F.lit(0)).alias("threshold"), F.coalesce("c.part", F.lit(0.0)).alias("part")), "mix-plan")
 
 
-def taken(size: Column, place: Column, most: float = 3.0) -> Column:
-    """Words that the mix takes of a document, beside the columns of its source's plan."""
-    more = F.when(place < F.col("threshold"), size).when(place == F.col("threshold"), F.round(size * F.col("part")).cast("long")).otherwise(0)
-    return F.least(size * F.col("passes") + more, size * int(most))
+def _more_at_edge(edge: DataFrame, name: str, keys: Sequence[Column]) -> DataFrame:
+    """Adds ``more`` to the struct ``name``: the words taken of rows that share the place at their source's threshold.
+
+    Each key decides as the places did; the rows at its threshold go on to the next one.
+    """
+    field = lambda c: F.col(f"{name}.{c}")
+    source, size = field("source"), field("size")
+    rows = edge.select(source.alias("source"), size.alias("size"), field("part").alias("part"))
+    budgets = rows.groupBy("source").agg((F.sum("size") * F.max("part")).alias("budget"))
+    left, done = edge, None
+    for key in keys:
+        ties = left.groupBy(source.alias("source")).agg(F.count_if(size > 0).alias("n"))
+        if (ties.agg(F.max("n")).first()[0] or 0) <= 1:
+            break
+        sizes = left.select(source.alias("source"), key.alias("place"), size.alias("size")).where("size > 0")
+        cut = written(thresholds(sizes, budgets).withColumnRenamed("source", "of"), "mix-ties")
+        cut = F.broadcast(cut.select(F.struct("of", "threshold", "part").alias("_cut")))  # MOST_SOURCES rows at most
+        placed = left.join(cut, source.eqNullSafe(F.col("_cut.of")))
+        at = key == F.col("_cut.threshold")
+        sure = placed.where(~at).withColumn(name, F.col(name).withField("more", F.when(key < F.col("_cut.threshold"), size).otherwise(0))).drop("_cut")
+        done = sure if done is None else done.unionByName(sure)
+        left = written(placed.where(at).withColumn(name, F.col(name).withField("part", F.col("_cut.part"))).drop("_cut"), "mix-left")
+        budgets = left.groupBy(source.alias("source")).agg((F.sum(size) * F.max(field("part"))).alias("budget"))
+    last = left.withColumn(name, F.col(name).withField("more", F.round(size * field("part")).cast("long")))
+    return last if done is None else done.unionByName(last)
+
+
+def _mixed(rows: DataFrame, name: str, weights: Sequence[float], most: float) -> DataFrame:
+    """The rows, their struct ``name`` (source, size, place, text) with source_size, target and taken."""
+    field = lambda c: F.col(f"{name}.{c}")
+    sizes = written(rows.select(field("source").alias("source"), field("size").alias("size"), field("place").alias("place")), "mix-sizes")
+    plan = plan_of(sizes, weights, most).select(F.struct("of", "source_size", "target", "passes", "threshold", "part").alias(f"{name}plan"))
+    joined = rows.join(F.broadcast(plan), field("source").eqNullSafe(F.col(f"{name}plan.of")))  # MOST_SOURCES rows at most
+    for c in ("source_size", "target", "passes", "threshold", "part"):
+        joined = joined.withColumn(name, F.col(name).withField(c, F.col(f"{name}plan.{c}")))
+    joined = joined.drop(f"{name}plan")
+    at = field("place") == field("threshold")
+    sure = joined.where(~at).withColumn(name, F.col(name).withField("more", F.when(field("place") < field("threshold"), field("size")).otherwise(0)))
+    edge = written(joined.where(at).withColumn(name, F.col(name).withField("row", F.monotonically_increasing_id())), "mix-edge")
+    row_place = F.shiftrightunsigned(F.xxhash64(field("row")), 64 - HASH_BITS)
+    edge = _more_at_edge(edge, name, [field("text"), row_place])
+    edge = edge.withColumn(name, F.col(name).dropFields("row"))
+    taken = F.least(field("size") * field("passes") + field("more"), field("size") * int(most))
+    return sure.unionByName(edge).withColumn(name, F.col(name).withField("taken", taken))
+
+
+def _numbers(text: Column, doc_id: Column, source: Column) -> Column:
+    return F.struct(source.alias("source"), word_count(text).alias("size"), place_of(doc_id).alias("place"), text_place(text).alias("text"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
-    sizes = written(sized(docs), "mix-sizes")
-    plan = F.broadcast(plan_of(sizes, weights, most))  # MOST_SOURCES rows at most
-    mixed = sizes.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", taken(F.col("size"), F.col("place"), most).alias("taken"))
+    given = documents_only(docs, "doc_id", "text", "source")
+    rows = written(given.select("doc_id", _numbers(F.col("text"), F.col("doc_id"), F.col("source")).alias("_mix")), "mix-rows")
+    return _mixed(rows, "_mix", weights, most).select("doc_id", *(f"_mix.{c}" for c in ("source", "size", "source_size", "target", "taken")))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0) -> DataFrame:
-    """The documents that the mix takes, with their columns and size, source_size, target, taken."""
-    plan = F.broadcast(plan_of(written(sized(docs), "mix-sizes"), weights, most))  # MOST_SOURCES rows at most
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    mixed = docs.join(plan, docs["source"].eqNullSafe(F.col("of"))).withColumn("size", word_count(docs["text"]))
-    return mixed.select(*names, "size", "source_size", "target", taken(F.col("size"), place_of(docs["doc_id"]), most).alias("taken")).where("taken > 0")
+    """The documents that the mix takes, with their columns and size, source_size, target, taken.
+
+    Rows with null or empty texts are never taken; equal rows are taken as often as their target needs; an empty table gives
+    no rows; columns of other names than the four are kept as they are.
+    """
+    name = "_mix"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    added = ["size", "source_size", "target", "taken"]
+    given = [F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string") for c in ("text", "doc_id", "source")]
+    mixed = _mixed(docs.withColumn(name, _numbers(*given)), name, weights, most)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    return mixed.where(F.col(f"{name}.taken") > 0).select(*kept, *(F.col(f"{name}.{c}").alias(c) for c in added))
