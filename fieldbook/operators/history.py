@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from fieldbook.operators.segments import DEFAULT_LAYOUT, SEGMENT, Layout, Segmented, segment
+from fieldbook.operators.segments import DEFAULT_LAYOUT, LONE, SEGMENT, Layout, Segmented, has_entity, segment
 
 # Row frames by name, for a width of w rows.
 FRAMES: dict[str, Callable[[int], tuple[int, int]]] = {
@@ -145,8 +145,14 @@ def add_history(
     features: Sequence[Feature],
     *,
     layout: Layout = DEFAULT_LAYOUT,
+    keep_null: bool = False,
+    sampled: DataFrame | None = None,
 ) -> DataFrame:
-    """Add all ``features`` in one pass: one shuffle by entity, one sort, shared by every frame. Rows without an entity are left out."""
+    """Add all ``features`` in one pass: one shuffle by entity, one sort, shared by every frame.
+
+    Rows without an entity are left out; with ``keep_null`` they stay, with null features. ``sampled`` has the same
+    rows with fewer columns, for the jobs that look for cuts.
+    """
     framed = [f for f in features if isinstance(f, Framed)]
     streaks = [f for f in features if isinstance(f, Streak)]
     trends = [f for f in features if isinstance(f, ClosingTrend)]
@@ -157,6 +163,8 @@ def add_history(
         before=max([f.before for f in framed], default=0),
         after=max([f.after for f in framed], default=0),
         layout=layout,
+        keep_null=keep_null,
+        sampled=sampled,
     )
     rows = cut.rows.withColumns({f.name: f.build(cut.window) for f in framed}) if framed else cut.rows
     if streaks or trends:
@@ -171,7 +179,7 @@ def add_history(
     if streaks:
         carried: dict[int, Column] = {}
         if cut.cuts is not None:
-            rows = rows.join(F.broadcast(_streak_carry(cut, streaks)), cut.keys, "left")
+            rows = rows.join(F.broadcast(_streak_carry(cut, streaks).drop(LONE)), [*cut.entity, SEGMENT], "left")
             carried = {i: F.coalesce(F.col(f"_carry_{i}"), F.lit(0)) for i in range(len(streaks))}
         rows = rows.withColumns(
             {
@@ -184,4 +192,5 @@ def add_history(
         rows = rows.join(F.broadcast(hot), cut.entity, "left").withColumns(
             {t.name: F.when(F.col("_divided"), F.col(f"_hot_{t.name}")).otherwise(F.col(t.name)) for t in trends}
         )
-    return rows.select(*df.columns, *[f.name for f in features])
+    known = has_entity(cut.entity)
+    return rows.select(*df.columns, *[F.when(known, F.col(f.name)).alias(f.name) if cut.lone else F.col(f.name) for f in features])

@@ -13,7 +13,8 @@ exact. If no entity is that large the plan is the plain window: one shuffle, not
 of cut points is broadcast; it holds about ``sample_rows / stride`` entries at most whatever the size
 of the input, because the sampling rate falls as the row count grows: beyond
 ``sample_rows / stride * segment_rows`` rows segments grow with the input, and a caller with such
-tables gives a layout with a larger ``sample_rows``. Cuts are looked up in two steps, first the page
+tables gives a layout with a larger ``sample_rows``. An order over all rows needs no sample: its ranges are written
+once, and their sums are the carries. Cuts are looked up in two steps, first the page
 of ``PAGE`` cuts, then the cut in it, so no row carries more than a page.
 """
 
@@ -26,7 +27,11 @@ from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from fieldbook.session import materialise
+
 SEGMENT, CORE = "_segment", "_core"
+#: Key of the rows without an entity, each on its own, where such rows are kept.
+LONE = "_lone"
 _CUTS, _KEY, _ALL, _HEADS, _PAGE = "_cuts", "_key", "_all", "_heads", "_page"
 #: Cuts that are searched at once.
 PAGE = 128
@@ -53,10 +58,11 @@ class Segmented:
     cuts: DataFrame | None
     entity: list[str]
     order: list[str]
+    lone: bool = False
 
     @property
     def keys(self) -> list[str]:
-        return self.entity if self.cuts is None else [*self.entity, SEGMENT]
+        return [*self.entity, *([LONE] if self.lone else []), *([] if self.cuts is None else [SEGMENT])]
 
     @property
     def core(self) -> Column:
@@ -143,21 +149,28 @@ def segment(
     before: int = 0,
     after: int = 0,
     layout: Layout = DEFAULT_LAYOUT,
+    keep_null: bool = False,
+    sampled: DataFrame | None = None,
 ) -> Segmented:
     """Cut ordered groups; ``before`` / ``after`` rows of context are copied across each cut.
 
-    Rows without an entity are left out. ``order`` should end in a unique column: rows with equal
-    order values have no defined sequence, with or without cuts.
+    Rows without an entity are left out, or with ``keep_null`` kept, spread by a hash of their order so that
+    they are no group. ``order`` should end in a unique column: rows with equal order values have no defined
+    sequence, with or without cuts. ``sampled`` has the same rows with fewer columns, for the jobs that look for cuts.
     """
     if max(before, after) >= layout.stride:
         raise ValueError(f"frame of {max(before, after)} rows needs a stride above it, got {layout.stride}")
-    if entity:
+    keep_null = keep_null and bool(entity)
+    seen = df if sampled is None else sampled
+    if keep_null:
+        df = df.withColumn(LONE, F.when(~has_entity(entity), F.xxhash64(*order)))
+    elif entity:
         df = df.filter(has_entity(entity))
     else:
-        entity, df = [_ALL], df.withColumn(_ALL, F.lit(0))
-    found = _cut_points(df, entity, order, before, after, layout)
+        entity, df, seen = [_ALL], df.withColumn(_ALL, F.lit(0)), seen.withColumn(_ALL, F.lit(0))
+    found = _cut_points(seen.filter(has_entity(entity)), entity, order, before, after, layout)
     if not found:
-        return Segmented(df, None, entity, order)
+        return Segmented(df, None, entity, order, keep_null)
     heads, pages, most = _paged(df, entity, order, found)
     page = F.greatest(_at_or_before(F.col(_HEADS), most, F.col(_KEY)) - 1, F.lit(0))
     rows = df.withColumn(_KEY, F.struct(*order)).join(F.broadcast(heads), entity, "left").withColumn(_PAGE, page).drop(_HEADS)
@@ -179,7 +192,28 @@ def segment(
     rows = rows.withColumn("_spread", F.explode(spread)).withColumns(
         {SEGMENT: F.col("_spread")[SEGMENT], CORE: F.col("_spread")[CORE]}
     )
-    return Segmented(rows.drop(_CUTS, _KEY, _PAGE, "_local", "_spread"), heads, entity, order)
+    return Segmented(rows.drop(_CUTS, _KEY, _PAGE, "_local", "_spread"), heads, entity, order, keep_null)
+
+
+def _ranged_totals(df: DataFrame, order: list[str], totals: dict[str, Column], layout: Layout) -> DataFrame:
+    """Running totals over all rows: ranges of the order are written once, and each starts from the sums of those before it.
+
+    Ranges are Spark's own, as many as a shuffle has partitions, or more if these were to hold more rows than a segment.
+    Rows of equal order are spread by a hash of the whole row.
+    """
+    spark = df.sparkSession
+    base = materialise(df)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // layout.segment_rows)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    along = [F.col(c).asc_nulls_first() for c in order]
+    placed = materialise(base.withColumn("_tie", tie).repartitionByRange(ranges, *along, "_tie").withColumn(SEGMENT, F.spark_partition_id()))
+    window = Window.partitionBy(SEGMENT).orderBy(*along, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row for each range, in number of the shuffle's partitions
+    earlier = Window.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(SEGMENT).agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()])
+    carry = sums.select(SEGMENT, *[F.sum(f"_sum_{name}").over(earlier).alias(f"_carry_{name}") for name in totals])
+    rows = placed.withColumns({name: F.sum(value).over(window) for name, value in totals.items()}).join(F.broadcast(carry), SEGMENT)
+    return rows.select(*df.columns, *[(F.col(name) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0))).alias(name) for name in totals])
 
 
 def running_totals(
@@ -190,8 +224,10 @@ def running_totals(
     group: list[str] = (),
     layout: Layout = DEFAULT_LAYOUT,
 ) -> DataFrame:
-    """Add sums from the first row of the group up to and including the current row; rows without a group are left out."""
-    cut = segment(df, list(group), order, layout=layout)
+    """Add sums from the first row of the group up to and including the current row; rows without a group stay, with null sums."""
+    if not group:
+        return _ranged_totals(df, order, totals, layout)
+    cut = segment(df, list(group), order, layout=layout, keep_null=True)
     upto = cut.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = cut.rows.withColumns({name: F.sum(value).over(upto) for name, value in totals.items()})
     if cut.cuts is not None:
@@ -203,10 +239,10 @@ def running_totals(
             .agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()])
             .select(*cut.keys, *[F.sum(f"_sum_{name}").over(earlier).alias(f"_carry_{name}") for name in totals])
         )
-        rows = rows.join(F.broadcast(carry), cut.keys, "left").withColumns(
+        rows = rows.join(F.broadcast(carry.drop(LONE)), [*cut.entity, SEGMENT], "left").withColumns(
             {name: F.col(name) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0)) for name in totals}
         )
-    return rows.select(*df.columns, *totals)
+    return rows.select(*df.columns, *[F.when(has_entity(cut.entity), F.col(name)).alias(name) for name in totals])
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str, *, group: list[str] = (), layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
