@@ -68,11 +68,16 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie(table(spark, folder, "conversations"))
 
 
+def near_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents grouped by the likeness of their fingerprints: the join of the fifth operator."""
+    return fingerprints.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_pii, op3_decontamination, op4_ngram_join, op5_fingerprints, op6_url_filters, op7_language, op8_mixing, op9_licenses, op10_quality,
-        op11_alignment, op12_warc, op13_prefix_trie,
+        op11_alignment, op12_warc, op13_prefix_trie, near_fingerprints,
     )
 }
 

@@ -121,12 +121,12 @@ def _more_at_edge(edge: DataFrame, name: str, keys: Sequence[Column]) -> DataFra
             break
         sizes = left.select(source.alias("source"), key.alias("place"), size.alias("size")).where("size > 0")
         cut = written(thresholds(sizes, budgets).withColumnRenamed("source", "of"), "mix-ties")
-        cut = F.broadcast(cut.select(F.struct("of", "threshold", "part").alias("_cut")))  # MOST_SOURCES rows at most
-        placed = left.join(cut, source.eqNullSafe(F.col("_cut.of")))
-        at = key == F.col("_cut.threshold")
-        sure = placed.where(~at).withColumn(name, F.col(name).withField("more", F.when(key < F.col("_cut.threshold"), size).otherwise(0))).drop("_cut")
+        cut = F.broadcast(cut.select(F.struct("of", "threshold", "part").alias(f"{name}cut")))  # MOST_SOURCES rows at most
+        placed = left.join(cut, source.eqNullSafe(F.col(f"{name}cut.of")))
+        at = key == F.col(f"{name}cut.threshold")
+        sure = placed.where(~at).withColumn(name, F.col(name).withField("more", F.when(key < F.col(f"{name}cut.threshold"), size).otherwise(0))).drop(f"{name}cut")
         done = sure if done is None else done.unionByName(sure)
-        left = written(placed.where(at).withColumn(name, F.col(name).withField("part", F.col("_cut.part"))).drop("_cut"), "mix-left")
+        left = written(placed.where(at).withColumn(name, F.col(name).withField("part", F.col(f"{name}cut.part"))).drop(f"{name}cut"), "mix-left")
         budgets = left.groupBy(source.alias("source")).agg((F.sum(size) * F.max(field("part"))).alias("budget"))
     last = left.withColumn(name, F.col(name).withField("more", F.round(size * field("part")).cast("long")))
     return last if done is None else done.unionByName(last)
