@@ -9,6 +9,7 @@ from fieldbook.catalog.base import ENTITY, ORDER, PANEL_SQL, ROUNDS_SQL, panel,
 from fieldbook.functions.numeric import row_mean, row_std
 from fieldbook.operators import history as h
 from fieldbook.operators.relational import fill_missed, missed_position, previous_edition, with_group_value, with_table_value
+from fieldbook.operators.segments import running_totals
 
 W = "OVER (PARTITION BY player ORDER BY d, k)"
 
@@ -276,3 +277,20 @@ def row_spread(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and sample deviation over the columns of a row."""
     rounds = ["r1", "r2", "r3", "r4"]
     return scored_panel(spark, folder).select("k", F.round(row_mean(rounds), 5).alias("mean"), F.round(row_std(rounds), 5).alias("std"))
+
+
+_NAMELESS_SQL = PANEL_SQL + """,
+nameless AS (SELECT CASE WHEN k % 3 <> 0 THEN player END AS player, d, k, position, to_par FROM panel)"""
+
+
+@query(
+    f"""WITH {_NAMELESS_SQL} SELECT k, player, CASE WHEN player IS NOT NULL THEN lag(position) OVER w END AS last_1,
+  CASE WHEN player IS NOT NULL THEN sum(to_par) OVER w END AS so_far, CASE WHEN player IS NOT NULL THEN row_number() OVER w END AS n
+FROM nameless WINDOW w AS (PARTITION BY player ORDER BY d, k)"""
+)
+def kept_nameless(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of the rows has no player: they stay, each without a history, and are no group of their own."""
+    df = panel(spark, folder).withColumn("player", F.when(F.col("k") % 3 != 0, F.col("player"))).select("k", "player", "d", "position", "to_par")
+    df = h.add_history(df, ENTITY, ORDER, [h.previous("last_1", "position")], keep_null=True)
+    df = running_totals(df, ORDER, {"so_far": F.col("to_par"), "n": F.lit(1).cast("bigint")}, group=ENTITY)
+    return df.select("k", "player", "last_1", "so_far", "n")

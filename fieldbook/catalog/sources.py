@@ -224,6 +224,31 @@ def active_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return t.read_table(spark, path, ["c_custkey", "score"])
 
 
+@query("SELECT c_custkey, -c_acctbal AS score FROM customer")
+def switched_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """The active forecast after two switches: the second one is read, though the first is still there."""
+    df = table(spark, folder, "customer").select("c_custkey", F.col("c_acctbal").alias("score"))
+    path = f"{shared_folder(spark)}/switched-{uuid.uuid4().hex}"
+    t.switch_active(df, path)
+    t.switch_active(df.withColumn("score", -F.col("score")), path)
+    return t.read_active(spark, path, ["c_custkey", "score"])
+
+
+@query(
+    """SELECT c_custkey, c_name, c_acctbal, NULL::VARCHAR AS line FROM customer
+UNION ALL SELECT NULL, NULL, NULL, line FROM (VALUES ('1,one cell too few'), ('2,name,1.5,one cell too many'), ('three,name,1.5'), ('4,name,much')) AS bad(line)"""
+)
+def damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV export with four damaged lines: the good rows, and the lines that were put aside."""
+    df = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = f"{shared_folder(spark)}/damaged-{uuid.uuid4().hex}"
+    t.write_table(df, path, "csv")
+    lines = ["c_custkey,c_name,c_acctbal", "1,one cell too few", "2,name,1.5,one cell too many", "three,name,1.5", "4,name,much"]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.mode("append").text(path)
+    found = t.read_csv_checked(spark, path, df.schema)
+    return found.rows.withColumn("line", F.lit(None).cast("string")).unionByName(found.rejects, allowMissingColumns=True)
+
+
 @query("SELECT o_orderkey, o_orderdate::DATE AS d FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 5")
 def preview(spark: SparkSession, folder: str) -> DataFrame:
     return t.preview(table(spark, folder, "orders"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.to_date("o_orderdate").alias("d"))

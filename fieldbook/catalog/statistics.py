@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.catalog.base import PANEL_SQL, PROFILE_METRICS, PROFILE_SQL, panel, profile, query, round_all, table
-from fieldbook.operators import reports, stats
+from fieldbook.operators import reports, stats, units
 from fieldbook.operators.quantiles import exact_quantiles
 from fieldbook.operators.relational import with_table_value
 
@@ -129,6 +129,39 @@ def kpi_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return reports.kpi_snapshot(profile(spark, folder), "level", 16, [*PROFILE_METRICS, "absent"])
 
 
+@query(
+    f"""SELECT metric, 'N/A' AS value FROM (SELECT unnest({PROFILE_METRICS}) AS metric) UNION ALL SELECT 'advice', '{reports.NONE_FOUND}' UNION ALL
+SELECT 'levels', CAST(count(*) AS VARCHAR) FROM part WHERE p_size > 1000"""
+)
+def empty_level(spark: SparkSession, folder: str) -> DataFrame:
+    """A level without rows: every metric is absent, and the advice says that there is none."""
+    df = profile(spark, folder)
+    none = df.filter(F.col("level") > 1000)
+    lines = reports.advice(none, "level").select(F.lit("advice").alias("metric"), F.col("line").alias("value"))
+    count = none.agg(F.lit("levels").alias("metric"), F.count(F.lit(1)).cast("string").alias("value"))
+    return reports.kpi_snapshot(df, "level", 1001, PROFILE_METRICS).unionByName(lines).unionByName(count)
+
+
+@query(f"{_R_SQL} SELECT CAST(row_number() OVER (ORDER BY abs(r) DESC, feature) AS INT) AS place, feature, round(r, 6) AS r FROM r")
+def features_by_strength(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics in the order of their correlation's size."""
+    ordered = stats.by_strength(stats.key_correlation(profile(spark, folder), "level"))
+    # one row for each metric
+    numbered = ordered.agg(F.collect_list(F.struct("feature", "r")).alias("all")).select(F.posexplode("all").alias("at", "f"))
+    return round_all(numbered.select((F.col("at") + 1).alias("place"), "f.feature", "f.r"), ["r"])
+
+
+@query(
+    """SELECT p_partkey, round(p_retailprice / 100, 6) AS proximity, p_size <= 10 OR p_size > 45 AS proximity_rescaled, round(p_retailprice, 6) AS price, false AS price_rescaled FROM part"""
+)
+def repaired_units(spark: SparkSession, folder: str) -> DataFrame:
+    """A column in two units, a hundred apart, put into the unit of most rows; a column in one unit stays."""
+    other = (F.col("p_size") <= 10) | (F.col("p_size") > 45)
+    mixed = F.when(other, F.col("p_retailprice") / 10_000).otherwise(F.col("p_retailprice") / 100)
+    df = table(spark, folder, "part").select("p_partkey", mixed.alias("proximity"), F.col("p_retailprice").alias("price"))
+    return round_all(units.repair_units(df, ["proximity", "price"]), ["proximity", "price"])
+
+
 @query(
     f"""WITH {PROFILE_SQL}, long AS ({_LONG_SQL}) SELECT level, metric, round(value, 6) AS value FROM long
 WHERE level IN ((SELECT min(level) FROM profile), (SELECT max(level) FROM profile))"""
