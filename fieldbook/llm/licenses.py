@@ -1,14 +1,17 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-A header is a stretch of a line around a word that speaks of licences or rights: up to ``BEFORE`` words before it and
-``AFTER`` words behind it. Its terms and the templates' are weighted by term frequency and inverse document frequency
-over all documents, and the header takes the template with the highest cosine, if that is ``LEAST`` or more. A header
-that names a licence in its usual words (``NAMES``) takes that one whatever the cosine is; of several the nearest, and
-one that only reserves rights comes last. Frequencies are shares of the documents, and a word is never rarer than
-``RAREST``, so the same notice is judged alike in a small and in a large table. A file's
-licence is that of its best header. A licence file is one named so, or one of which headers with a licence make up
-half of the words; it speaks for its directory. A file without a licence inherits from the nearest directory above it
-that has one: the directories' ancestors are joined with the directories that licence files speak for.
+A header is a stretch around a word that speaks of licences or rights: ``BEFORE`` words before it and ``AFTER`` behind it,
+over line ends and without comment marks. Its terms are pairs of neighbouring words, weighted by their frequency in it (one, and the
+logarithm of repeats) and their inverse document frequency. The documents of the latter are the notices of all licences, together with a background in
+which pairs of function words are in every document and other pairs in none, so a weight is a fixed value and the same header is
+judged alike in a small table and in a large one. A header is a sparse vector, as are the notices; it takes the licence of the
+notice with the highest cosine, if that is ``LEAST`` or more; pairs that no notice has make a header longer, by the weight
+``UNKNOWN`` each. A notice that only reserves rights yields to one of a licence in the same header.
+
+A file's licence is that of its best header. A licence file is one named so, of which the whole text is compared, too, or one
+of which the words of one header that notices have, too, are half; it speaks for its directory. A file without a licence inherits from
+the nearest directory above it that has one: the directories' ancestors are joined with the directories that licence files
+speak for. Of several best notices or files the first by name counts.
 
 Null and empty texts have no header and inherit. A null path has no directory and inherits nothing. Rows with one path are one
 file with the texts of all of them and give a row each. Extra columns are ignored; empty tables give no rows.
@@ -16,93 +19,114 @@ file with the texts of all of them and give a row each. Extra columns are ignore
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.storage import documents_only, written
 
-#: Notices of licences as they are usually worded.
+#: Notices of licences as they are usually worded, long and short.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0, Creative Commons Attribution-NonCommercial 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "All rights reserved. Copyright. Unauthorized copying is prohibited.",
-}
-_S = r"[\s,;/*#-]+"
-#: How a licence is named, between letters and digits of other words.
-NAMES = {
-    "Apache-2.0": r"apache (?:software )?licen[sc]e|apache 2\.0",
-    "BSD-3-Clause": r"bsd 3 clause|3 clause bsd|redistribution and use in source and binary",
-    "CC-BY-4.0": r"(?:creative commons attribution|cc by) (?:4\.0|international)",
-    "CC-BY-NC-4.0": r"(?:creative commons attribution|cc by) (?:nc|noncommercial|non commercial)",
-    "GPL-3.0": r"gnu general public licen[sc]e|gpl 3\.0|gplv3",
-    "LGPL-3.0": r"gnu lesser general public licen[sc]e|lgpl 3\.0|lgplv3",
-    "MIT": r"mit licen[sc]ed?|licen[sc]e identifier: mit|permission is hereby granted free of charge",
-    "MPL-2.0": r"mozilla public licen[sc]e|mpl 2\.0",
-    "Proprietary": r"all rights reserved",
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.",
+        "Apache License Version 2.0",
+        "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "BSD 3-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC-4.0": ["Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "GPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This work is licensed under the GNU General Public License, version 3",
+        "SPDX-License-Identifier: GPL-3.0",
+    ],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3", "GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0"],
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Released under the MIT License",
+        "MIT License",
+        "SPDX-License-Identifier: MIT",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"],
+    "Proprietary": ["All rights reserved", "Copyright. All rights reserved. Unauthorized copying is prohibited"],
 }
-MARK = r"(?i:licen[sc]|copyright|all rights reserved|creative commons|public domain|permission is hereby|redistribution)"
-BEFORE, AFTER, LEAST, RAREST = 8, 20, 0.35, 1 / 200
-HEADER = rf"(?:[^\s]+[ \t]+){{0,{BEFORE}}}?[^\s]*{MARK}[^\s]*(?:[ \t]+[^\s]+){{0,{AFTER}}}"
+#: The licence of notices that only reserve rights.
+RESERVED = "Proprietary"
+#: Words that say nothing about a licence.
+FUNCTION_WORDS = "a an and any as by for from in is it of on or that the this to under with you may use".split()
+MARK = r"(?i)licen[sc]|copyright|rights reserved|creative commons|permission is hereby|redistribution and use"
+MARKED = r"(?i)licen[sc]|copyright|^rights$|^creative$|^permission$|^redistribution$"
+BEFORE, AFTER, LEAST, UNKNOWN = 12, 28, 0.4, 0.35
 NAMED = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice)[^/]*$"
-_BREAK = "[^a-z0-9.-]+|[.]+(?![0-9])"
+_BREAK = r"[^a-z0-9.-]+|[.]+(?![0-9])|(?<![a-z0-9])-+|-+(?![a-z0-9])"
+
 
+def words_of(text: Column) -> Column:
+    """Lower-case words; comment marks and other signs go, hyphens and points inside of words stay."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?m)^\s*(?:#+|//+|\*+|;+|--+|/\*+)", " "), _BREAK), lambda t: t != "")
 
-def terms_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _BREAK), lambda t: t != "")
 
+def pairs_of(words: Column) -> Column:
+    """Neighbouring words, each pair as one term."""
+    n = F.size(words)
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
-def idf_of(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """term, idf of every term: from the share of all documents that have it, so that copies of the whole table change nothing."""
-    given = documents_only(docs, "text")
-    total = max(given.count(), 1)
-    found = given.select(F.explode(F.array_distinct(terms_of(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return terms.join(found, "term", "left").select("term", (1 - F.log(F.greatest(F.coalesce("n", F.lit(0)) / total, F.lit(RAREST)))).alias("idf"))
 
+def template_weights(docs: DataFrame) -> DataFrame:
+    """(licence, notice, term, tf, idf) of all notices: a few hundred rows, whatever is scanned."""
+    listed = [(licence, i, text) for licence, texts in TEMPLATES.items() for i, text in enumerate(texts)]
+    rows = docs.sparkSession.createDataFrame(listed, "licence string, notice int, text string")
+    terms = rows.select("licence", "notice", F.explode(pairs_of(words_of(F.col("text")))).alias("term")).groupBy("licence", "notice", "term").agg(F.count(F.lit(1)).alias("tf"))
+    spread = terms.groupBy("term").agg(F.countDistinct("licence").alias("df"))
+    both = F.split("term", " ")
+    plain = both[0].isin(FUNCTION_WORDS) & both[1].isin(FUNCTION_WORDS)
+    n = len(TEMPLATES)
+    idf = F.when(plain, F.lit(math.log(1 + 1 / (2 * n)))).otherwise(F.log(1 + n / F.col("df")))
+    return terms.join(spread, "term").select("licence", "notice", "term", "tf", idf.alias("idf"))
 
-def named_in(header: Column) -> Column:
-    """The licences that a header names."""
-    pattern = lambda name: "(?i)(?<![a-z0-9])(?:" + NAMES[name].replace(" ", _S) + ")(?![a-z0-9])"
-    return F.array_compact(F.array(*(F.when(header.rlike(pattern(n)), F.lit(n)) for n in NAMES)))
+
+def _weight() -> Column:
+    return (1 + F.log("tf")) * F.coalesce("idf", F.lit(UNKNOWN))
 
 
 def headers_of(files: DataFrame) -> DataFrame:
-    """path, header, n_words of the file, for every header of every whole text."""
+    """path, header (its words), n_words of the file, whole (whether it is all of a licence file), for every header of every whole text."""
     text = F.coalesce("text", F.lit(""))
-    marked = files.select("path", text.alias("text")).where(F.col("text").rlike(MARK) & F.col("path").isNotNull())
-    counted = marked.select("path", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), F.regexp_extract_all("text", F.lit(HEADER), F.lit(0)).alias("headers"))
-    return counted.select("path", "n_words", F.explode("headers").alias("header"))
+    marked = files.select("path", text.alias("text")).where(F.col("path").isNotNull() & (F.col("text").rlike(MARK) | F.col("path").rlike(NAMED)))
+    worded = marked.select("path", words_of(F.col("text")).alias("words"))
+    size = F.size("words")
+    at = F.filter(F.sequence(F.lit(1), size), lambda i: F.get(F.col("words"), i - 1).rlike(MARKED))
+    around = F.transform(at, lambda i: F.slice(F.col("words"), F.greatest(i - BEFORE, F.lit(1)), F.least(i, F.lit(BEFORE + 1)) + AFTER))
+    whole = F.when(F.col("path").rlike(NAMED), F.array(F.col("words"))).otherwise(F.array().cast("array<array<string>>"))
+    split = worded.where(size > 0).select("path", size.alias("n_words"), F.transform(around, lambda h: F.struct(h.alias("header"), F.lit(False).alias("whole"))).alias("a"), F.transform(whole, lambda h: F.struct(h.alias("header"), F.lit(True).alias("whole"))).alias("b"))
+    return split.select("path", "n_words", F.explode(F.concat("a", "b")).alias("h")).select("path", "n_words", "h.header", "h.whole")
 
 
-def own_licences(files: DataFrame, docs: DataFrame) -> DataFrame:
+def own_licences(files: DataFrame) -> DataFrame:
     """path, licence, score of the best header, and whether the file is a licence file."""
-    headers = headers_of(files).groupBy("path", "header").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("times"))
-    headers = written(headers.withColumn("id", F.xxhash64("path", "header")), "licence-headers")
-    tf = headers.select("id", F.explode(terms_of(F.col("header"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    listed = files.sparkSession.createDataFrame(list(TEMPLATES.items()), "template string, notice string")
-    sides = listed.select("template", F.explode(terms_of(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = written(idf_of(tf.select("term").union(sides.select("term")).distinct(), docs), "licence-terms")
-    weighed = tf.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    sides = sides.join(idf, "term").withColumn("side", F.col("tf") * F.col("idf"))
-    lengths = sides.groupBy("template").agg(F.sqrt(F.sum(F.col("side") ** 2)).alias("length"))
-    sides = written(sides.join(lengths, "template").select("template", "term", (F.col("side") / F.col("length")).alias("side")), "licence-templates")
-    dots = weighed.join(F.broadcast(sides), "term").groupBy("id", "template").agg(F.sum(F.col("weight") * F.col("side")).alias("dot"))
-    cosines = dots.join(norms, "id").select("id", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
-    named = headers.select("id", F.explode(named_in(F.col("header"))).alias("template")).withColumn("named", F.lit(True))
-    judged = cosines.join(named, ["id", "template"], "full").select("id", "template", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("named", F.lit(False)).alias("named"))
-    after = F.when(~F.col("named"), 2).when(F.col("template") == "Proprietary", 1).otherwise(0)
-    fitting = judged.where(F.col("named") | (F.col("cosine") >= LEAST))
-    best = fitting.groupBy("id").agg(F.min(F.struct(after.alias("after"), (-F.col("cosine")).alias("below"), "template")).alias("b"))
-    known = headers.join(best, "id").select("path", "n_words", F.regexp_count("header", F.lit(r"\S+")).alias("words"), "times", "b")
-    files_ = known.groupBy("path").agg(F.min("b").alias("b"), F.sum(F.col("words") * F.col("times")).alias("words"), F.max("n_words").alias("n_words"))
+    headers = written(headers_of(files).withColumn("id", F.xxhash64("path", "header", "whole")).withColumn("text", F.array_join("header", " ")), "licence-headers")
+    notices = written(template_weights(files), "licence-templates")
+    lengths = notices.groupBy("licence", "notice").agg(F.sqrt(F.sum(_weight() ** 2)).alias("length"))
+    sides = notices.join(lengths, ["licence", "notice"]).select("licence", "notice", "term", (_weight() / F.col("length")).alias("side"))
+    known = notices.select("term", "idf").distinct()
+    # headers with the same words are judged once
+    each = headers.select("text", "header").dropDuplicates(["text"])
+    tf = each.select("text", F.explode(pairs_of(F.col("header"))).alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = tf.join(F.broadcast(known), "term", "left").withColumn("weight", _weight())
+    weighed = written(weighed, "licence-terms")
+    norms = weighed.groupBy("text").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"), (F.sum(F.when(F.col("idf").isNotNull(), F.col("tf"))) + 1).alias("words"))
+    dots = weighed.where("idf IS NOT NULL").join(F.broadcast(sides), "term").groupBy("text", "licence", "notice").agg(F.sum(F.col("weight") * F.col("side")).alias("dot"))
+    cosines = dots.join(norms, "text").select("text", "licence", "words", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST)
+    best = cosines.groupBy("text").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("cosine")).alias("below"), "licence")).alias("b"), F.max("words").alias("words"))
+    found = headers.join(best, "text").select("path", "n_words", "words", "b")
+    per_file = found.groupBy("path").agg(F.min("b").alias("b"), F.max("words").alias("words"), F.max("n_words").alias("n_words"))
     speaks = F.col("path").rlike(NAMED) | (2 * F.col("words") >= F.col("n_words"))
-    return files_.select("path", F.col("b.template").alias("licence"), (-F.col("b.below")).alias("score"), speaks.alias("speaks"))
+    return per_file.select("path", F.col("b.licence").alias("licence"), (-F.col("b.below")).alias("score"), speaks.alias("speaks"))
 
 
 def directory_of(path: Column) -> Column:
@@ -111,23 +135,30 @@ def directory_of(path: Column) -> Column:
 
 
 def ancestors(directory: Column) -> Column:
-    """The directory and all above it, up to the top."""
+    """The directory and all above it, but for the top."""
     parts = F.split(directory, "/")
     own = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    return F.when(directory == "", F.array(F.lit(""))).otherwise(F.concat(own, F.array(F.lit(""))))
+    return F.when(directory == "", F.array().cast("array<string>")).otherwise(own)
+
 
+def scan(files: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, path, licence, how (own or inherited), score, from_path of every row of ``files`` (doc_id, path, text).
 
-def scan(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, path, licence, how (own or inherited), score, from_path of every row of ``files`` (doc_id, path, text)."""
-    own = written(own_licences(files, docs), "licences-own")
+    ``docs`` is not read: the weights do not depend on the documents around a file.
+    """
+    own = written(own_licences(files), "licences-own")
     speaking = own.where("speaks").withColumn("above", directory_of(F.col("path")))
-    spoken = speaking.groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("below"), "path", "licence")).alias("s"))
+    spoken = written(speaking.groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("below"), "path", "licence")).alias("s")), "licences-spoken")
     directories = files.select(directory_of(F.col("path")).alias("directory")).where("directory IS NOT NULL").distinct()
     upward = directories.select("directory", F.explode(ancestors(F.col("directory"))).alias("above"))
-    nearest = upward.join(spoken, "above").groupBy("directory").agg(F.max_by(F.struct(F.col("s.licence").alias("licence"), F.col("s.path").alias("from_path"), (-F.col("s.below")).alias("score")), F.length("above")).alias("n"))
+    said = F.struct(F.col("s.licence").alias("licence"), F.col("s.path").alias("from_path"), (-F.col("s.below")).alias("score"))
+    nearest = upward.join(spoken, "above").groupBy("directory").agg(F.max_by(said, F.length("above")).alias("n"))
     nearest = written(nearest, "licences-nearest")
+    # every directory lies below the top: what speaks there is one row
+    top = spoken.where("above = ''").agg(F.first(said).alias("top"))
     rows = files.select("doc_id", "path", directory_of(F.col("path")).alias("directory"))
-    both = rows.join(own.select("path", F.col("licence").alias("own"), F.col("score").alias("own_score")), "path", "left").join(nearest, "directory", "left")
+    both = rows.join(own.select("path", F.col("licence").alias("own"), F.col("score").alias("own_score")), "path", "left").join(nearest, "directory", "left").crossJoin(F.broadcast(top))
+    both = both.withColumn("n", F.coalesce("n", F.when(F.col("path").isNotNull(), F.col("top"))))
     return both.select(
         "doc_id", "path", F.coalesce("own", "n.licence").alias("licence"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("n.licence").isNotNull(), "inherited").alias("how"),
@@ -136,8 +167,14 @@ def scan(files: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def as_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: their source is the top directory, then language and a directory for each hundred ids."""
-    given = documents_only(docs, "doc_id", "text", "lang", "source")
-    hundred = F.floor(F.col("doc_id") / 100).cast("long").cast("string")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), hundred, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return given.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+    """Documents as a tree of files: source, a directory for each thousand ids, in it one for each hundred.
+
+    Every tenth document is a notice of its thousand, so that its licence, if it has one, holds for the files below it.
+    """
+    given = documents_only(docs, "doc_id", "text", "source")
+    number = F.col("doc_id")
+    level = lambda n: F.floor(number / n).cast("long").cast("string")
+    name = number.cast("string")
+    thousand = F.concat_ws("/", F.coalesce("source", F.lit("none")), level(1000))
+    path = F.when(number % 10 == 0, F.concat(thousand, F.lit("/NOTICE-"), name)).otherwise(F.concat_ws("/", thousand, level(100), F.concat(name, F.lit(".txt"))))
+    return given.select("doc_id", path.alias("path"), "text")

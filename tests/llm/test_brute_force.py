@@ -1,10 +1,13 @@
 """Operators that SQL cannot state, against plain versions in Python."""
 
+import math
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from fieldbook.llm import fingerprints
+from fieldbook.llm import fingerprints, licenses
 from fieldbook.llm.storage import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -114,3 +117,98 @@ def test_neighbours_by_id_in_many_ranges(spark, monkeypatch):
         n = len(a) // 4
         want.append((i, len(a), hashlib.sha256((a[: len(a) - n] + b[:n]).encode()).hexdigest()))
     assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+# --- licences -------------------------------------------------------------------------------------
+
+
+def plain_words(text):
+    text = re.sub(r"(?m)^\s*(?:#+|//+|\*+|;+|--+|/\*+)", " ", text.lower())
+    return [w for w in re.split(licenses._BREAK, text) if w]
+
+
+def plain_cosines(words):
+    """Cosine of a header to every notice, by plain sums."""
+    notices = {(name, i): plain_words(t) for name, texts in licenses.TEMPLATES.items() for i, t in enumerate(texts)}
+    vectors = {k: Counter(zip(w, w[1:])) for k, w in notices.items()}
+    holders = {}
+    for (name, _), v in vectors.items():
+        for p in v:
+            holders.setdefault(p, set()).add(name)
+    n = len(licenses.TEMPLATES)
+
+    def weight(p):
+        if p not in holders:
+            return licenses.UNKNOWN
+        plain = all(w in licenses.FUNCTION_WORDS for w in p)
+        return math.log(1 + 1 / (2 * n)) if plain else math.log(1 + n / len(holders[p]))
+
+    own = Counter(zip(words, words[1:]))
+    side = lambda v: {p: (1 + math.log(c)) * weight(p) for p, c in v.items()}
+    one = side(own)
+    norm = math.sqrt(sum(x * x for x in one.values()))
+    out = {}
+    for (name, i), v in vectors.items():
+        two = side(v)
+        dot = sum(x * one.get(p, 0) for p, x in two.items())
+        out[name, i] = dot / (norm * math.sqrt(sum(x * x for x in two.values()))) if norm else 0.0
+    return out, sum(c for p, c in own.items() if p in holders) + 1
+
+
+def plain_licence(path, text):
+    words = plain_words(text or "")
+    headers = [words[max(0, i - licenses.BEFORE) : i + 1 + licenses.AFTER] for i, w in enumerate(words) if re.search(licenses.MARKED, w)] if re.search(licenses.MARK, text or "") or re.search(licenses.NAMED, path) else []
+    named = bool(re.search(licenses.NAMED, path))
+    found, covered = [], 0
+    for h in [*headers, *([words] if named and words else [])]:
+        cosines, known = plain_cosines(h)
+        fitting = [(name == licenses.RESERVED, -round(c, 9), name) for (name, _), c in cosines.items() if round(c, 9) >= licenses.LEAST]
+        if fitting:
+            found.append(min(fitting))
+            covered = max(covered, known)
+    if not found:
+        return None
+    _, below, name = min(found)
+    return name, -below, named or 2 * covered >= len(words)
+
+
+FILES = [
+    ("LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files " + "and more words of it " * 30),
+    ("src/a.py", "# Licensed under the Apache License,\n# Version 2.0. You may not use\n# this file except in compliance\nimport os\n" + "code here " * 60),
+    ("src/b.py", "nothing said " * 40), ("src/deep/er/c.py", ""), ("src/deep/COPYING", "GNU Lesser General Public License"), ("lib/x.c", "/* Copyright 2020 X. All rights reserved.\n * Released under the MIT License. */"),
+    ("lib/y.c", "The MIT License is not what this song is about"), ("lib/z.c", "we compare gpl 3.0 and others"), ("lib/s.c", "// SPDX-License-Identifier: BSD-3-Clause\n" + "int x " * 50), ("t/n.txt", "a license to sing all day"),
+    ("t/m.txt", "ein Text mit vielen Worten und keiner License von uns"), ("t/o.txt", "Copyright (c) 2021 All rights reserved."), ("t/u/p.txt", None), ("v/notice.md", "to whom it may concern " * 9), ("v/w.txt", "x"),
+    ("deep/1/2/3/4/5/f.txt", "f"), ("deep/1/LICENCE.txt", "Licensed under CC BY-NC 4.0"), ("deep/1/2/3/g.txt", "This work is licensed under a Creative Commons Attribution 4.0 International License " * 2),
+]
+
+
+def test_licences_equal_plain_cosines_and_nearest_ancestors(spark):
+    files = spark.createDataFrame([(i, p, t, "x") for i, (p, t) in enumerate(FILES)] + [(99, None, "MIT License", "x")], "doc_id bigint, path string, text string, licence string")
+    own = {p: found for p, t in FILES if (found := plain_licence(p, t))}
+    speaks = {}
+    for p, (name, score, loud) in sorted(own.items()):
+        if loud:
+            d = p.rpartition("/")[0]
+            speaks[d] = min(speaks.get(d, (0.0, "~", "")), (-score, p, name))
+    want = {99: (None, None, None)}
+    for i, (p, _) in enumerate(FILES):
+        if p in own:
+            want[i] = (own[p][0], "own", p)
+            continue
+        d = p.rpartition("/")[0]
+        while d not in speaks and d:
+            d = d.rpartition("/")[0]
+        want[i] = (speaks[d][2], "inherited", speaks[d][1]) if d in speaks else (None, None, None)
+    got = licenses.scan(files).collect()
+    assert {r["doc_id"]: (r["licence"], r["how"], r["from_path"]) for r in got} == want
+    assert all(r["score"] == pytest.approx(own[r["path"]][1], abs=1e-8) for r in got if r["how"] == "own")
+    shown = {p: own.get(p, (None,))[0] for p, _ in FILES}
+    assert shown["lib/x.c"] == "MIT" and shown["src/a.py"] == "Apache-2.0" and shown["LICENSE"] == "MIT" and shown["lib/s.c"] == "BSD-3-Clause"
+    assert shown["lib/z.c"] is shown["t/n.txt"] is shown["t/m.txt"] is None and shown["t/o.txt"] == "Proprietary"
+
+
+def test_a_tenth_of_the_files_inherits(spark):
+    documents = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r["how"]: r["n"] for r in licenses.scan(licenses.as_files(documents)).groupBy("how").agg(F.count("*").alias("n")).collect()}
+    marked = documents.where(F.col("text").rlike(r"MIT License|Apache License|General Public License|CC BY-NC|All rights reserved")).count()
+    assert got["own"] == marked and got["inherited"] >= 90
