@@ -81,9 +81,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ranges are cut by a sample of ids and text hashes, so far outliers and ids that many rows share leave them alike in size.
     """
     rows = documents_only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.md5(F.col("text").cast("binary")))
-    following = Framed("next", lambda w: F.lead(F.struct("text", "signatures")).over(w), after=1)
+    # plain columns: an expression over them would be shuffled beside them
+    following = [Framed(f"next_{c}", lambda w, c=c: F.lead(c).over(w), after=1) for c in ("text", "signatures")]
     signed = rows.withColumn("plain", plain_words(F.col("text"))).withColumn("signatures", signatures(F.col("text"), F.col("plain"))).drop("plain")
-    return add_history(signed, [], ["doc_id", "hash"], [following], layout=RANGES, sampled=rows)
+    return add_history(signed, [], ["doc_id", "hash"], following, layout=RANGES, sampled=rows)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -131,7 +132,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     smaller = first.select("sign", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("class").alias("a"), "n", "place")
     larger = first.select("sign", "part", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_b"))
     heads = smaller.groupBy("sign", "part").agg(F.max(F.struct("n", "a", "place")).alias("head")).select("sign", "part", "head.*")
-    stars = larger.join(heads, ["sign", "part"]).where((F.col("a") != F.col("b")) & _may_reach(least)).select("a", "b")
+    stars = larger.join(heads, ["sign", "part"]).where((F.col("a") != F.col("b")) & _may_reach(least))
+    stars = stars.groupBy("b").agg(F.min("a").alias("a"))  # one comparison for each class; in a group most take the same one
     links = written(_near_pairs(stars, sets, least), "spot-stars")
     groups = components(links, "a", "b")
 
@@ -160,13 +162,15 @@ def edited(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and that of the next document."""
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     given = documents_only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    first = _signed(given.orderBy(F.col("doc_id").asc_nulls_first(), F.md5(F.col("text").cast("binary"))).limit(1)).select(F.struct("text", "signatures").alias("first"))
-    texts = with_next(docs).crossJoin(F.broadcast(first)).withColumn("next", F.coalesce("next", "first"))  # one row on the right
-    changed = F.concat(F.substr(F.col("text"), F.lit(1), n - cut), F.substr(F.col("next.text"), F.lit(1), cut))
+    first = given.agg(F.min_by("text", F.struct("doc_id", F.md5(F.col("text").cast("binary")))).alias("first_text"))
+    first = first.withColumn("plain", plain_words(F.col("first_text"))).withColumn("first_signatures", signatures(F.col("first_text"), F.col("plain"))).drop("plain")
+    texts = with_next(docs).crossJoin(F.broadcast(first))  # one row on the right
+    texts = texts.withColumns({f"next_{c}": F.coalesce(f"next_{c}", f"first_{c}") for c in ("text", "signatures")})
+    changed = F.concat(F.substr(F.col("text"), F.lit(1), n - cut), F.substr(F.col("next_text"), F.lit(1), cut))
     texts = texts.withColumn("edited", changed).withColumn("plain", plain_words(F.col("edited"))).withColumn("signs", signatures(F.col("edited"), F.col("plain")))
     return texts.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint_text(F.col("signatures")).alias("fingerprint"), fingerprint_text(F.col("signs")).alias("edited_fingerprint"),
-        likeness(F.col("signatures"), F.col("signs")).alias("near_edited"), likeness(F.col("signatures"), F.col("next.signatures")).alias("near_next"),
+        likeness(F.col("signatures"), F.col("signs")).alias("near_edited"), likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
         length_partition(F.size("signatures")).alias("length_partition"),
     )

@@ -4,10 +4,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldbook.llm import fingerprints, licenses
+from fieldbook.llm import fingerprints, language, licenses
 from fieldbook.llm.storage import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -212,3 +213,48 @@ def test_a_tenth_of_the_files_inherits(spark):
     got = {r["how"]: r["n"] for r in licenses.scan(licenses.as_files(documents)).groupBy("how").agg(F.count("*").alias("n")).collect()}
     marked = documents.where(F.col("text").rlike(r"MIT License|Apache License|General Public License|CC BY-NC|All rights reserved")).count()
     assert got["own"] == marked and got["inherited"] >= 90
+
+
+# --- languages ------------------------------------------------------------------------------------
+
+
+def plain_mixture(units, allowed, tolerance=1e-7):
+    """Proportions by plain loops of expectation and maximisation."""
+    share = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(units[0]))]
+    while True:
+        total = [0.0] * len(share)
+        for u in units:
+            part = [s * math.exp(x) for s, x in zip(share, u)]
+            for k, p in enumerate(part):
+                total[k] += p / sum(part)
+        new = [t / len(units) for t in total]
+        if max(abs(a - b) for a, b in zip(new, share)) <= tolerance:
+            return new, sum(math.log(sum(s * math.exp(x) for s, x in zip(new, u))) for u in units)
+        share = new
+
+
+def test_mixtures_equal_plain_loops():
+    rng = np.random.default_rng(6)
+    size = np.array([1, 40, 7, 25])
+    values = rng.normal(size=(size.sum(), 6)) * 2
+    allowed = np.ones((4, 6), dtype=np.float32)
+    allowed[3, 2:] = 0
+    share, fit = language.proportions(np.exp(values), size, allowed, 1e-7)
+    at = np.concatenate([[0], np.cumsum(size)])
+    for i in range(4):
+        want, value = plain_mixture(values[at[i] : at[i + 1]].tolist(), set(np.flatnonzero(allowed[i])))
+        assert share[i] == pytest.approx(want, abs=1e-5) and fit[i] == pytest.approx(value, abs=1e-4)
+
+
+def test_texts_of_five_languages_have_five(spark):
+    """Languages of letters of their own, so that every unit tells its language."""
+    alphabets = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "äöüßé"]
+    rng = np.random.default_rng(2)
+    text = lambda k, n: " ".join("".join(rng.choice(list(alphabets[k]), 5)) for _ in range(n))
+    rows = [(6 * i + k, text(k, 120), f"l{k}") for i in range(30) for k in range(6)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    mixed = [(1, " ".join(text(k, 60) for k in range(5))), (2, text(3, 80)), (3, text(0, 150) + " " + text(5, 50)), (4, "12 34"), (5, None)]
+    got = {r["doc_id"]: r for r in language.predicted(spark.createDataFrame(mixed, "doc_id bigint, text string"), model).collect()}
+    sets = {i: [x.split()[0] for x in r["languages"].split(", ") if x] for i, r in got.items()}
+    assert sorted(sets[1]) == ["l0", "l1", "l2", "l3", "l4"] and sets[2] == ["l3"] and sets[3] == ["l0", "l5"] and sets[4] == sets[5] == []
+    assert got[3]["lang_pred"] == "l0" and got[3]["score"] == pytest.approx(900 / 1450, abs=0.05) and got[4]["lang_pred"] == "und"
