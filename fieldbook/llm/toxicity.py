@@ -2,8 +2,8 @@
 
 The kernel of two words sums over all subsequences of three letters that span at most ``SPAN`` letters, each weighted by
 ``DECAY`` to the power of its span, so that letters left out or put in between weaken a match and do not undo it. Letters
-are folded first: case and accents go, digits read as the letters they stand for, other characters are dropped, and runs
-of three or more single letters are one word ("i d i o t").
+are folded first: case goes, digits read as the letters they stand for, other characters of ASCII are dropped, a letter beyond
+it stands for itself, as its bytes, and runs of three or more single letters are one word ("i d i o t").
 
 A sentence is as toxic as its worst word, and a document's label holds for one of its sentences at least. Training
 alternates: of the toxic documents without a positive sentence, the words that are more frequent than in clean documents

@@ -1,14 +1,17 @@
 """Operators that SQL cannot state, against plain versions in Python."""
 
 import math
+import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
-from fieldbook.llm import fingerprints, language, licenses
+from fieldbook.llm import decontaminate, fingerprints, language, licenses, quality, toxicity, urls
 from fieldbook.llm.storage import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -258,3 +261,185 @@ def test_texts_of_five_languages_have_five(spark):
     sets = {i: [x.split()[0] for x in r["languages"].split(", ") if x] for i, r in got.items()}
     assert sorted(sets[1]) == ["l0", "l1", "l2", "l3", "l4"] and sets[2] == ["l3"] and sets[3] == ["l0", "l5"] and sets[4] == sets[5] == []
     assert got[3]["lang_pred"] == "l0" and got[3]["score"] == pytest.approx(900 / 1450, abs=0.05) and got[4]["lang_pred"] == "und"
+
+
+# --- toxicity -------------------------------------------------------------------------------------
+
+
+def plain_weights(word):
+    """Weight of every subsequence of three letters, over all choices of places."""
+    found = Counter()
+    for at in combinations(range(len(word)), 3):
+        span = at[2] - at[0] + 1
+        if span <= toxicity.SPAN:
+            found[tuple(word[i] for i in at)] += toxicity.DECAY**span
+    return found
+
+
+def plain_norm(word):
+    return math.sqrt(sum(toxicity.DECAY ** (2 * (at[2] - at[0] + 1)) for at in combinations(range(len(word)), 3) if at[2] - at[0] < toxicity.SPAN))
+
+
+def test_kernels_equal_all_subsequences():
+    rng = np.random.default_rng(9)
+    words = [rng.integers(1, 5, size=n) for n in (3, 4, 5, 8, 12, 20, 3, 7)]
+    marks = [rng.integers(1, 5, size=n) for n in (3, 6, 9)]
+    got = toxicity.kernels(words, marks)
+    for i, s in enumerate(words):
+        for j, t in enumerate(marks):
+            one, two = plain_weights(s.tolist()), plain_weights(t.tolist())
+            want = sum(v * two[u] for u, v in one.items()) / (plain_norm(s) * plain_norm(t))
+            assert got[i, j] == pytest.approx(want, rel=1e-4)
+
+
+def test_word_values_equal_all_subsequences():
+    rng = np.random.default_rng(10)
+    table = rng.normal(size=toxicity.LETTERS**3).astype(np.float32)
+    words = [rng.integers(1, 30, size=n) for n in (1, 2, 3, 5, 11, 30)]
+    got = toxicity.word_values(*toxicity.pack(words), table)
+    for w, value in zip(words, got):
+        if len(w) < 3:
+            assert value == toxicity.NO_WORD
+            continue
+        want = sum(v * table[(a * toxicity.LETTERS + b) * toxicity.LETTERS + c] for (a, b, c), v in plain_weights(w.tolist()).items()) / plain_norm(w)
+        assert value == pytest.approx(want, rel=1e-3, abs=1e-4)
+
+
+def test_gaps_and_inserted_characters_weaken_a_word_only():
+    word = lambda text: toxicity.folded(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())])).letters
+    marks = [word("dumbskull")]
+    same, spaced, swapped, other = toxicity.kernels([word(t) for t in ("DuMbSkUlL", "d.u*m-b_s k u l l".replace(" ", "x"), "dumbskall", "weather")], marks)[:, 0]
+    assert same > spaced > 0.2 and same > swapped > 0.2 and other < 0.1
+
+
+# --- decontamination ------------------------------------------------------------------------------
+
+
+def plain_leaks(docs, items):
+    """Every item under every mask at every place of every document, then the stretches around what is equal."""
+    number = {}
+    coded = lambda text: np.array([number.setdefault(w, len(number)) for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())], dtype=np.int64)
+    found = set()
+    for d, text in docs:
+        doc = coded(text)
+        for i, t in items:
+            item = coded(t)
+            if not len(item) or not len(doc):
+                continue
+            shifts = set()
+            for mask in decontaminate.MASKS:
+                for a in range(len(doc) - mask[-1]):
+                    for b in range(len(item) - mask[-1]):
+                        if all(doc[a + m] == item[b + m] for m in mask):
+                            shifts.add(a - b)
+            if len(item) < decontaminate.SPAN:
+                shifts |= {a for a in range(len(doc) - len(item) + 1) if (doc[a : a + len(item)] == item).all()}
+            if shifts and (got := decontaminate.overlap(doc, item, sorted(shifts))):
+                found.add((d, i, len(item), *got))
+    return found
+
+
+def test_leaks_equal_all_masks_at_all_places(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 6, 8, 9, 10, 14, 25, 40])))) for i in range(24)]
+    docs, planted = [], 0
+    for d in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 70))]
+        if d % 2:
+            own = items[d % 24][1].split()
+            share = rng.choice([0, 0, 0.05, 0.1, 0.3])
+            own = [rng.choice(vocabulary) if rng.random() < share else w for w in own]
+            planted += share < 0.3
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        docs.append((d, " ".join(words)))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    found = {(r["doc_id"], r["item_id"], r["item_words"], r["matched"], r["first_word"]) for r in got.collect()}
+    assert found == plain_leaks(docs, items)
+    assert len({f[0] for f in found if f[0] % 2}) >= 0.9 * planted
+
+
+# --- addresses ------------------------------------------------------------------------------------
+
+
+def plain_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
+
+
+def plain_rule(host, path):
+    best = None
+    for text, verdict in urls.RULES:
+        of, _, start = text.partition("/")
+        if (host == of or host.endswith("." + of)) and path.startswith("/" + start) and (best is None or len(text) > len(best[0])):
+            best = (text, verdict)
+    return best or (None, None)
+
+
+def test_addresses_rules_and_probabilities(spark):
+    rng = random.Random(4)
+    hosts = ["example.com", "www.example.com", "a.www.EXAMPLE.com", "notexample.com", "x.net", "net", "com", "ExämPLE.org", "", "a:b@h.net:80", "spam-farm.example.org"]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/es/1", "/fr/", "/EN/", "//en/", "/en/../es/", "/a b"]
+    tails = ["", "?q=/en/", "#top", "?x#y", "#/es/?z"]
+    given = [f"{rng.choice(['http', 'https', '', 'x y'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(tails)}" for _ in range(300)]
+    given += [None, "", "no scheme", "http:/example.com/en/", "://", "http://a.com/" + "en/" * 20_000, given[0], given[0]]
+    rows = spark.createDataFrame(list(enumerate(given)), "page_id bigint, url string").selectExpr("page_id", "url", "'x' AS host", "1 AS rule", "2.5 AS probability", "'y' AS grams")
+    model = urls.train(urls.labelled_urls(spark))
+    got = {r["page_id"]: r for r in urls.judged(rows, model).collect()}
+    weights, place = model.coefficients.toArray(), HashingTF(numFeatures=urls.FEATURES)
+    number = {}
+    for i, url in enumerate(given):
+        host, path = plain_url(url)
+        rule, verdict = plain_rule(host, path)
+        grams = {f"{mark}{n}:{framed[at : at + n]}" for mark, t in (("h", host), ("p", path)) if t for framed in [f"^{t}$"] for n in urls.GRAMS for at in range(len(framed) - n + 1)}
+        for g in grams - number.keys():
+            number[g] = place.indexOf(g)
+        risk = 1 / (1 + math.exp(-(model.intercept + sum(weights[k] for k in {number[g] for g in grams}))))
+        r = got[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule), url
+        assert r["risk"] == pytest.approx(risk, abs=1e-9)
+        assert r["verdict"] == (verdict or ("block" if risk >= 0.5 else "allow"))
+    assert urls.judged(rows.limit(0), model).collect() == []
+
+
+# --- quality --------------------------------------------------------------------------------------
+
+
+def test_discriminant_equals_plain_densities():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 4)) @ rng.normal(size=(4, 4)), rng.normal(size=(90, 4)) * [1, 2, 3, 0.1] + 1])
+    y = np.repeat([0, 1], [60, 90])
+    pool, diagonal = 0.1, 0.05
+    model = quality.fit(x, y, pool, diagonal)
+    z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-3)
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = (60 * own[0] + 90 * own[1]) / 150
+    logs = []
+    for k, share in ((0, 60), (1, 90)):
+        c = (1 - pool) * own[k] + pool * pooled
+        c = (1 - diagonal) * c + diagonal * np.trace(c) / 4 * np.eye(4) + 1e-9 * np.eye(4)
+        away = z - z[y == k].mean(axis=0)
+        logs.append(math.log(share) - 0.5 * np.log(np.linalg.det(c)) - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away))
+    assert model.scores(x) == pytest.approx(1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))), abs=1e-9)
+
+
+def test_statistics_equal_plain_counts():
+    text = "The quick brown Fox!! jumps | over\nthe the lazy dog 123, and the extraordinarily long word; yes? #tag é"
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    got = dict(zip(quality.STATISTICS, quality.statistics(quality.words_of(data, np.array([0, len(data)])))[0]))
+    words = text.split()
+    n, chars = len(words), len(text)
+    lower = [w.lower() for w in words]
+    want = {
+        "words": math.log1p(n), "word_length": math.log1p(sum(len(w.encode()) for w in words) / n), "long_words": math.sqrt(sum(len(w.encode()) > 12 for w in words) / n),
+        "upper": math.sqrt(sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) / chars), "digits": math.sqrt(sum(c.isdigit() for c in text) / chars),
+        "sentence_marks": math.sqrt(sum(c in ".,;:?" for c in text) / n), "shouting": math.sqrt(text.count("!") / n), "bars": math.sqrt(text.count("|") / n), "lines": math.sqrt(1 / n),
+        "distinct_words": math.sqrt(len(set(lower)) / n), "repeated_words": math.sqrt(sum(a == b for a, b in zip(lower, lower[1:])) / n),
+        "distinct_shingles": math.sqrt(len(set(zip(lower, lower[1:], lower[2:]))) / (n - 2)), "spaces": math.sqrt(text.count(" ") / chars), "other_bytes": math.sqrt(1 / chars),
+    }
+    assert {k: got[k] for k in want} == pytest.approx(want, abs=1e-9)
