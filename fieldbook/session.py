@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all nodes see, named by the cluster; a temporary one only on a single machine."""
     known = spark.conf.get(CHECKPOINT_SETTING, None)
     if known is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all nodes share")
         known = tempfile.mkdtemp(prefix="fieldbook-")
         spark.conf.set(CHECKPOINT_SETTING, known)
