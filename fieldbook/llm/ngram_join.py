@@ -16,7 +16,7 @@ Jaccard likeness 3/4 have overlap 3/4 of either size, so the first tokens they s
 3. Merge: keys under which the same sets stand say the same, and one of them is kept.
 4. Verify: each set is compared with one marked set under each of its keys, that with the most frequent tokens, which in a
    group of copies is the nearest to all others. This joins most members of such a group in linear time. Only keys under which different components still meet are expanded into pairs, of different
-   components that may reach the likeness by their sizes and profiles (tokens that are not lone, counted by cells of
+   components that may reach the likeness by their size classes, sizes and profiles (tokens that are not lone, counted by cells of
    their hashes), and these are compared exactly. No pair of linked sets is missed.
 
 Equal sets are one class and are indexed once a task. A null or empty text has no set and is linked with nothing. Rows
@@ -255,7 +255,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     meeting = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     open_ = placed.join(meeting, "key", "left_semi")
     other = open_.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("lone").alias("lone_b"), F.col("profile").alias("profile_b"), F.col("comp").alias("comp_b"))
-    rest = open_.where("marked").withColumnRenamed("cls", "a").join(other, "key").where((F.col("comp") != F.col("comp_b")) & (F.col("n") <= F.col("m")) & may_link()).select("a", "b").distinct()
+    # a key is split by size: a partner is in the size class of the smaller set or in the next one
+    size_class = lambda n: F.floor(F.log(F.col(n)) / math.log(4 / 3)).cast("int")
+    smaller = open_.where("marked").withColumnRenamed("cls", "a").withColumn("part", F.explode(F.array(size_class("n"), size_class("n") + 1)))
+    rest = smaller.join(other.withColumn("part", size_class("m")), ["key", "part"]).where((F.col("comp") != F.col("comp_b")) & (F.col("n") <= F.col("m")) & may_link()).select("a", "b").distinct()
     more = verified(rest, sets)
     part = components(links.unionByName(more), "a", "b")
 
