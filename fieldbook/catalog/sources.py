@@ -90,27 +90,40 @@ def schedule_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "tournament_id", "location", F.col("Name").alias("name"), F.col("Date").alias("dates"))
 
 
-def _order_pages(spark: SparkSession, folder: str, player, event, place, to_par) -> DataFrame:
-    """Orders written out as board pages: a short table first, then the board with one full and one short row."""
-    key = F.col("o_orderkey").cast("string")
-    texts = [F.lit(""), place, player, to_par, *[F.lit(str(v)) for v in (70, 71, 69, 70, 280)], F.concat(F.lit("$"), key), F.lit("5")]
-    cells = [x for c in texts for x in _element("td", 'class="c"', c)]
+def _order_pages(spark: SparkSession, folder: str, player, event, place, to_par, short=None) -> DataFrame:
+    """Orders written out as board pages: a short table first, then the board with one row and a note.
+
+    Rounds follow from the order's key; where ``short`` holds, the row ends after them.
+    """
+    key = F.col("o_orderkey")
+    rounds = [62 + key * i * 7 % 17 for i in (1, 2, 3, 4)]
+    first = [F.lit(""), place, player, to_par, *[r.cast("string") for r in rounds]]
+    last = [sum(rounds[1:], rounds[0]).cast("string"), F.concat(F.lit("$"), key.cast("string")), (key % 100).cast("string")]
+    rest = F.concat(*[x for c in last for x in _element("td", 'class="c"', c)])
     html = F.concat(
         F.lit('<table><tbody class="Table__TBODY"><tr><td>note</td></tr></tbody></table><table><tbody class="Table__TBODY"><tr>'),
-        *cells,
+        *[x for c in first for x in _element("td", 'class="c"', c)],
+        rest if short is None else F.when(short, F.lit("")).otherwise(rest),
         F.lit("</tr><tr><td>cut line</td></tr></tbody></table>"),
     )
     url = F.concat(F.lit("https://example.org/leaderboard?tournamentId="), event)
-    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("page_id"), url.alias("url"), html.alias("html"))
+    return table(spark, folder, "orders").select(key.alias("page_id"), url.alias("url"), html.alias("html"))
 
 
 @query(
-    """SELECT o_orderkey AS page_id, 'T3' AS "Position", CAST(o_custkey AS VARCHAR) AS "Player", '-4' AS "TOPAR", '70' AS "R1", '280' AS "Total",
-    '$' || CAST(o_orderkey AS VARCHAR) AS "Winnings", '5' AS "FedEx" FROM orders"""
+    """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE 'T' || (o_orderkey % 60 + 1) END AS "Position", CAST(o_custkey AS VARCHAR) AS "Player",
+    CASE WHEN o_orderkey % 9 = 0 THEN 'E' ELSE CAST(o_orderkey % 19 - 9 AS VARCHAR) END AS "TOPAR",
+    CAST(62 + o_orderkey * 7 % 17 AS VARCHAR) AS "R1", CAST(62 + o_orderkey * 14 % 17 AS VARCHAR) AS "R2", CAST(62 + o_orderkey * 21 % 17 AS VARCHAR) AS "R3", CAST(62 + o_orderkey * 28 % 17 AS VARCHAR) AS "R4",
+    CASE WHEN o_orderkey % 4 <> 0 THEN CAST(248 + o_orderkey * 7 % 17 + o_orderkey * 14 % 17 + o_orderkey * 21 % 17 + o_orderkey * 28 % 17 AS VARCHAR) END AS "Total",
+    CASE WHEN o_orderkey % 4 <> 0 THEN '$' || CAST(o_orderkey AS VARCHAR) END AS "Winnings", CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 100 AS VARCHAR) END AS "FedEx" FROM orders"""
 )
 def board_rows(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _order_pages(spark, folder, F.col("o_custkey").cast("string"), F.lit("1"), F.lit(" T3 "), F.lit("-4"))
-    return p.extract_boards(pages).select("page_id", "Position", "Player", "TOPAR", "R1", "Total", "Winnings", "FedEx")
+    """One board row of each page, a fourth of them without the cells behind the rounds."""
+    key = F.col("o_orderkey")
+    place = F.when(key % 5 == 0, F.lit(" - ")).otherwise(F.concat(F.lit(" T"), (key % 60 + 1).cast("string"), F.lit(" ")))
+    to_par = F.when(key % 9 == 0, F.lit("E")).otherwise((key % 19 - 9).cast("string"))
+    pages = _order_pages(spark, folder, F.col("o_custkey").cast("string"), F.lit("1"), place, to_par, key % 4 == 0)
+    return p.extract_boards(pages).select("page_id", "Position", "Player", "TOPAR", "R1", "R2", "R3", "R4", "Total", "Winnings", "FedEx")
 
 
 @query("SELECT o_orderkey AS page_id, CAST(o_custkey AS VARCHAR) AS player FROM orders")
@@ -165,7 +178,8 @@ history AS (
 
 @query(
     f"""WITH {RESULTS_SQL}, {FIRST_HISTORY_SQL}
-SELECT player, tournament, year, position, 'OH' AS state, 'Midwest' AS region, last_1, last_2, last_3, month, previous, days FROM history"""
+SELECT player, tournament, year, position, 'OH' AS state, 'Midwest' AS region, last_1, last_2, last_3, month, previous, days,
+  coalesce(CAST(r1 AS VARCHAR), '--') AS r1, coalesce(CAST(r2 AS VARCHAR), '--') AS r2, coalesce(CAST(r3 AS VARCHAR), '--') AS r3, coalesce(CAST(r4 AS VARCHAR), '--') AS r4 FROM history"""
 )
 def results_table(spark: SparkSession, folder: str) -> DataFrame:
     """Pages to the results table: schedule and boards are written out as pages and read back."""
@@ -181,7 +195,7 @@ def results_table(spark: SparkSession, folder: str) -> DataFrame:
     season = F.concat(F.lit("https://example.org/schedule/_/season/"), F.col("Year").cast("string"))
     schedule_pages = events.select(F.col("id").cast("bigint").alias("page_id"), season.alias("url"), schedule_html.alias("html"))
     place = F.when(F.col("Position") == -1, "-").otherwise(F.concat(F.lit("T"), F.col("Position").cast("int").cast("string")))
-    shown = [F.lit(""), place, F.col("Player"), F.col("TOPAR"), *[F.lit("70")] * 4, F.lit("280"), F.lit("$1,000"), F.lit("5")]
+    shown = [F.lit(""), place, F.col("Player"), F.col("TOPAR"), *[F.coalesce(c, F.lit("--")) for c in ("R1", "R2", "R3", "R4")], F.lit("280"), F.lit("$1,000"), F.lit("5")]
     board_html = F.concat(F.lit("<tbody><tr>"), *[x for c in shown for x in _element("td", "", c)], F.lit("</tr></tbody>"))
     url = F.concat(F.lit("https://example.org/leaderboard?tournamentId="), number)
     board_pages = found.select(F.xxhash64("Player", "Tournament", "Year").alias("page_id"), url.alias("url"), board_html.alias("html"))
@@ -190,7 +204,7 @@ def results_table(spark: SparkSession, folder: str) -> DataFrame:
         F.col("Player").alias("player"), F.col("Tournament").alias("tournament"), F.col("Year").alias("year"), F.col("Position").alias("position"),
         F.col("State").alias("state"), F.col("Region").alias("region"), F.col("Last T1 Finish").alias("last_1"), F.col("Last T2 Finish").alias("last_2"),
         F.col("Last T3 Finish").alias("last_3"), F.col("Month").alias("month"), F.col("Previous_Year_Position").alias("previous"),
-        F.col("Days_Since_Last_Tournament").alias("days"),
+        F.col("Days_Since_Last_Tournament").alias("days"), *[F.col(c).alias(c.lower()) for c in ("R1", "R2", "R3", "R4")],
     )
 
 
