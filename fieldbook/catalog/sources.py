@@ -133,6 +133,28 @@ def field_rows(spark: SparkSession, folder: str) -> DataFrame:
     return p.extract_field(pages).select("page_id", F.col("Player").alias("player"))
 
 
+@query(
+    """SELECT c_custkey AS page_id, 'Open of ' || n_name || ' & Co' AS tournament, CASE WHEN c_custkey % 7 <> 0 THEN n_name || ' Links - Dublin, OH' END AS location,
+    CASE WHEN c_custkey % 5 = 0 THEN make_date(2025, 2, c_custkey % 9 + 1) ELSE make_date(2025, 1, c_custkey % 20 + 4) END AS last_day, 2025 AS year, c_name || suffix AS player
+FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (''), (' II')) AS e(suffix)"""
+)
+def upcoming_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Event pages to the rows to predict: name, place and last day from the head, two entrants from the table of each."""
+    named = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey")
+    day = lambda n: n.cast("string")
+    dates = F.when(key % 5 == 0, F.concat(F.lit("January 30 - February "), day(key % 9 + 1))).otherwise(F.concat(F.lit("January "), day(key % 20 + 1), F.lit(" - "), day(key % 20 + 4)))
+    place = F.when(key % 7 == 0, F.lit("")).otherwise(F.concat(*_element("div", 'class="Leaderboard__Course__Location n8 clr-gray-04"', F.concat("n_name", F.lit(" Links - Dublin, OH")))))
+    entrant = lambda suffix: [F.lit("<tr>"), *_element("td", "", F.lit("")), *_element("td", 'class="p"', F.concat("c_name", F.lit(suffix))), F.lit("</tr>")]
+    html = F.concat(
+        *_element("h1", 'class="title"', F.concat(F.lit("Open of "), "n_name", F.lit(" &amp; Co"))), *_element("span", 'class="Leaderboard__Event__Date n7"', F.concat(dates, F.lit(", 2025"))),
+        place, F.lit('<table><tbody class="Table__TBODY">'), *entrant(""), *entrant(" II"), F.lit("</tbody></table>"),
+    )
+    pages = named.select(key.alias("page_id"), F.lit("https://example.org/event").alias("url"), html.alias("html"))
+    found = plan.upcoming_field(pages, keep_page=True)
+    return found.select("page_id", F.col("Tournament").alias("tournament"), F.col("Location").alias("location"), F.col("Final_Date").alias("last_day"), F.col("Year").alias("year"), F.col("Player").alias("player"))
+
+
 RESULTS_SQL = (
     ROUNDS_SQL
     + """,
