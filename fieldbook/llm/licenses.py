@@ -8,7 +8,7 @@ judged alike in a small table and in a large one. A header is a sparse vector, a
 notice with the highest cosine, if that is ``LEAST`` or more; pairs that no notice has make a header longer, by the weight
 ``UNKNOWN`` each. A notice that only reserves rights yields to one of a licence in the same header.
 
-A file's licence is that of its best header. A licence file is one named so, of which the whole text is compared, too, or one
+A file's licence is that of its best header. A licence file is one named so, of which the whole text is compared, too, if it has such a word, or one
 of which the words of one header that notices have, too, are half; it speaks for its directory. A file without a licence inherits from
 the nearest directory above it that has one: the directories' ancestors are joined with the directories that licence files
 speak for. Of several best notices or files the first by name counts.
@@ -97,7 +97,7 @@ def _weight() -> Column:
 def headers_of(files: DataFrame) -> DataFrame:
     """path, header (its words), n_words of the file, whole (whether it is all of a licence file), for every header of every whole text."""
     text = F.coalesce("text", F.lit(""))
-    marked = files.select("path", text.alias("text")).where(F.col("path").isNotNull() & (F.col("text").rlike(MARK) | F.col("path").rlike(NAMED)))
+    marked = files.select("path", text.alias("text")).where(F.col("path").isNotNull() & F.col("text").rlike(MARK))
     worded = marked.select("path", words_of(F.col("text")).alias("words"))
     size = F.size("words")
     at = F.filter(F.sequence(F.lit(1), size), lambda i: F.get(F.col("words"), i - 1).rlike(MARKED))
@@ -109,21 +109,21 @@ def headers_of(files: DataFrame) -> DataFrame:
 
 def own_licences(files: DataFrame) -> DataFrame:
     """path, licence, score of the best header, and whether the file is a licence file."""
-    headers = written(headers_of(files).withColumn("id", F.xxhash64("path", "header", "whole")).withColumn("text", F.array_join("header", " ")), "licence-headers")
+    headers = written(headers_of(files).withColumn("key", F.unhex(F.md5(F.array_join("header", " ").cast("binary")))), "licence-headers")
     notices = written(template_weights(files), "licence-templates")
     lengths = notices.groupBy("licence", "notice").agg(F.sqrt(F.sum(_weight() ** 2)).alias("length"))
     sides = notices.join(lengths, ["licence", "notice"]).select("licence", "notice", "term", (_weight() / F.col("length")).alias("side"))
     known = notices.select("term", "idf").distinct()
     # headers with the same words are judged once
-    each = headers.select("text", "header").dropDuplicates(["text"])
-    tf = each.select("text", F.explode(pairs_of(F.col("header"))).alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each = headers.select("key", "header").dropDuplicates(["key"])
+    tf = each.select("key", F.explode(pairs_of(F.col("header"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = tf.join(F.broadcast(known), "term", "left").withColumn("weight", _weight())
     weighed = written(weighed, "licence-terms")
-    norms = weighed.groupBy("text").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"), (F.sum(F.when(F.col("idf").isNotNull(), F.col("tf"))) + 1).alias("words"))
-    dots = weighed.where("idf IS NOT NULL").join(F.broadcast(sides), "term").groupBy("text", "licence", "notice").agg(F.sum(F.col("weight") * F.col("side")).alias("dot"))
-    cosines = dots.join(norms, "text").select("text", "licence", "words", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST)
-    best = cosines.groupBy("text").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("cosine")).alias("below"), "licence")).alias("b"), F.max("words").alias("words"))
-    found = headers.join(best, "text").select("path", "n_words", "words", "b")
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"), (F.sum(F.when(F.col("idf").isNotNull(), F.col("tf"))) + 1).alias("words"))
+    dots = weighed.where("idf IS NOT NULL").join(F.broadcast(sides), "term").groupBy("key", "licence", "notice").agg(F.sum(F.col("weight") * F.col("side")).alias("dot"))
+    cosines = dots.join(norms, "key").select("key", "licence", "words", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST)
+    best = cosines.groupBy("key").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("cosine")).alias("below"), "licence")).alias("b"), F.max("words").alias("words"))
+    found = headers.join(best, "key").select("path", "n_words", "words", "b")
     per_file = found.groupBy("path").agg(F.min("b").alias("b"), F.max("words").alias("words"), F.max("n_words").alias("n_words"))
     speaks = F.col("path").rlike(NAMED) | (2 * F.col("words") >= F.col("n_words"))
     return per_file.select("path", F.col("b.licence").alias("licence"), (-F.col("b.below")).alias("score"), speaks.alias("speaks"))

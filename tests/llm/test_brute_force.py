@@ -160,8 +160,8 @@ def plain_cosines(words):
 
 
 def plain_licence(path, text):
-    words = plain_words(text or "")
-    headers = [words[max(0, i - licenses.BEFORE) : i + 1 + licenses.AFTER] for i, w in enumerate(words) if re.search(licenses.MARKED, w)] if re.search(licenses.MARK, text or "") or re.search(licenses.NAMED, path) else []
+    words = plain_words(text or "") if re.search(licenses.MARK, text or "") else []
+    headers = [words[max(0, i - licenses.BEFORE) : i + 1 + licenses.AFTER] for i, w in enumerate(words) if re.search(licenses.MARKED, w)]
     named = bool(re.search(licenses.NAMED, path))
     found, covered = [], 0
     for h in [*headers, *([words] if named and words else [])]:
