@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldbook.catalog.base import ROUNDS_SQL, query, scored_panel, table
+from fieldbook.catalog.base import ROUNDS_SQL, query, scored_panel, spread, table
 from fieldbook.functions.text import capture
 from fieldbook.plans import results as plan
 from fieldbook.session import shared_folder
@@ -78,7 +78,7 @@ def _customer_pages(spark: SparkSession, folder: str) -> DataFrame:
         key.cast("string"), F.lit('" class="AnchorLink eventAndLocation__tournamentLink">'), F.col("c_name"), F.lit(" &amp; Co</a>"), place,
         F.lit('</td></tr><tr class="Table__TR"><td>no link</td></tr></table></div>'),
     )
-    return table(spark, folder, "customer").select(key.alias("page_id"), F.lit("https://example.org/schedule/_/season/2024").alias("url"), html.alias("html"))
+    return spread(table(spark, folder, "customer"), "c_custkey").select(key.alias("page_id"), F.lit("https://example.org/schedule/_/season/2024").alias("url"), html.alias("html"))
 
 
 @query(
@@ -107,7 +107,7 @@ def _order_pages(spark: SparkSession, folder: str, player, event, place, to_par,
         F.lit("</tr><tr><td>cut line</td></tr></tbody></table>"),
     )
     url = F.concat(F.lit("https://example.org/leaderboard?tournamentId="), event)
-    return table(spark, folder, "orders").select(key.alias("page_id"), url.alias("url"), html.alias("html"))
+    return spread(table(spark, folder, "orders"), "o_orderkey").select(key.alias("page_id"), url.alias("url"), html.alias("html"))
 
 
 @query(
@@ -140,7 +140,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (''), (' II')) A
 )
 def upcoming_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Event pages to the rows to predict: name, place and last day from the head, two entrants from the table of each."""
-    named = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = spread(table(spark, folder, "customer"), "c_custkey").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.col("c_custkey")
     day = lambda n: n.cast("string")
     dates = F.when(key % 5 == 0, F.concat(F.lit("January 30 - February "), day(key % 9 + 1))).otherwise(F.concat(F.lit("January "), day(key % 20 + 1), F.lit(" - "), day(key % 20 + 4)))

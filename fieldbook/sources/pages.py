@@ -40,8 +40,8 @@ def _outer(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}>"), F.lit(0))
 
 
-def page_rows(pages: DataFrame, markup: Markup = Markup(), pick: str = "largest") -> DataFrame:
-    """(page_id, block_no, row_no, cells): rows of the block with most rows (the first such), or of all blocks."""
+def page_rows(pages: DataFrame, markup: Markup = Markup(), pick: str = "largest", keep: Sequence[str] = ()) -> DataFrame:
+    """(page_id, block_no, row_no, cells): rows of the block with most rows (the first such), or of all blocks; ``keep`` names columns of the page to carry along."""
     blocks = F.regexp_extract_all("html", F.lit(markup.block_pattern()), F.lit(1))
     rows_of = F.transform(blocks, lambda b: _outer(b, markup.row))
     numbered = F.transform(rows_of, lambda rows, i: F.struct(F.size(rows).alias("n"), (-i).alias("place"), rows.alias("rows")))
@@ -51,29 +51,28 @@ def page_rows(pages: DataFrame, markup: Markup = Markup(), pick: str = "largest"
         chosen = numbered
     else:
         raise ValueError(f"pick must be 'largest' or 'all', not {pick!r}")
-    per_block = pages.select("page_id", F.explode(chosen).alias("b"))
+    per_block = pages.select("page_id", *keep, F.explode(chosen).alias("b"))
     # Cells are read before the rows are spread out, so that a later filter on them does not read them again.
     cells = F.transform("b.rows", lambda row: cell_texts(_inner(row, markup.cell)))
-    return per_block.select("page_id", (-F.col("b.place")).alias("block_no"), F.posexplode(cells).alias("row_no", "cells"))
+    return per_block.select("page_id", *keep, (-F.col("b.place")).alias("block_no"), F.posexplode(cells).alias("row_no", "cells"))
 
 
 def extract_cells(
-    pages: DataFrame, places: dict[str, int], *, min_cells: int, markup: Markup = Markup(), pick: str = "largest"
+    pages: DataFrame, places: dict[str, int], *, min_cells: int, markup: Markup = Markup(), pick: str = "largest", keep: Sequence[str] = ()
 ) -> DataFrame:
     """One column per named cell place (from 0); rows with too few cells are left out, absent trailing cells are null."""
-    rows = page_rows(pages, markup, pick).filter(F.size("cells") >= min_cells)
-    return rows.select("page_id", "row_no", *[F.get("cells", F.lit(i)).alias(name) for name, i in places.items()])
+    rows = page_rows(pages, markup, pick, keep).filter(F.size("cells") >= min_cells)
+    return rows.select("page_id", *keep, "row_no", *[F.get("cells", F.lit(i)).alias(name) for name, i in places.items()])
 
 
-def extract_boards(pages: DataFrame, *, markup: Markup = Markup(), pick: str = "largest", min_cells: int = 8) -> DataFrame:
+def extract_boards(pages: DataFrame, *, markup: Markup = Markup(), pick: str = "largest", min_cells: int = 8, keep: Sequence[str] = ()) -> DataFrame:
     """Result boards: cells 1 to 10 of every row, the same meaning in both page layouts."""
-    return extract_cells(pages, {c: i for i, c in enumerate(BOARD_COLUMNS, start=1)}, min_cells=min_cells, markup=markup, pick=pick)
+    return extract_cells(pages, {c: i for i, c in enumerate(BOARD_COLUMNS, start=1)}, min_cells=min_cells, markup=markup, pick=pick, keep=keep)
 
 
-def _by_class(html: Column, tag: str, name: str) -> Column:
-    """Text of the first element with exactly this class among its classes; null if there is none."""
-    body = capture(html, rf"(?is)<{tag}\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</{tag}>")
-    return cell_text(body)
+def _class_pattern(tag: str, name: str) -> str:
+    """The first element with exactly this class among its classes."""
+    return rf"(?is)<{tag}\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</{tag}>"
 
 
 def extract_schedule(
@@ -85,15 +84,22 @@ def extract_schedule(
     date_classes: Sequence[str] = ("dateAndTickets__col", "dateRange__col"),
 ) -> DataFrame:
     """(page_id, tournament_id, location, Name, Date) of every row that has all of them."""
-    per_row = pages.select("page_id", F.explode(_outer(F.col("html"), "tr")).alias("row"))
-    row = F.col("row")
-    named = per_row.select(
-        "page_id",
-        capture(row, rf"(?is)<a\b[^>]*\bhref\s*=\s*[\"'][^\"']*{id_pattern}").alias("tournament_id"),
-        _by_class(row, r"(?:div|span|p)", place_class).alias("location"),
-        F.coalesce(_by_class(row, "a", name_class), _by_class(row, r"(?:div|span|p)", name_class)).alias("Name"),
-        F.coalesce(*[_by_class(row, "td", c) for c in date_classes]).alias("Date"),
-    )
+    patterns = [
+        rf"(?is)<a\b[^>]*\bhref\s*=\s*[\"'][^\"']*{id_pattern}",
+        _class_pattern(r"(?:div|span|p)", place_class),
+        _class_pattern("a", name_class),
+        _class_pattern(r"(?:div|span|p)", name_class),
+        *[_class_pattern("td", c) for c in date_classes],
+    ]
+    # Each step reads the one before as a value, and a filter stays behind the explode: no pattern is searched twice in a row.
+    found = F.transform(_outer(F.col("html"), "tr"), lambda row: F.array(*[F.regexp_extract(row, p, 1) for p in patterns]))
+    texts = F.transform(found, lambda cells: cell_texts(F.transform(cells, lambda c: F.when(c != "", c))))
+    rows = pages.select("page_id", F.explode(F.arrays_zip(found.alias("found"), texts.alias("texts"))).alias("row"))
+    text = [F.col("row.texts")[i] for i in range(len(patterns))]
+    named = rows.select(
+        "page_id", F.nullif(F.col("row.found")[0], F.lit("")).alias("tournament_id"), text[1].alias("location"),
+        F.coalesce(text[2], text[3]).alias("Name"), F.coalesce(*text[4:]).alias("Date"),
+    )
     return named.na.drop(subset=["tournament_id", "location", "Name", "Date"])
 
 

@@ -109,3 +109,16 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a, b", 1.5, 1), (None, None, None)], schema.FORECAST)
     t.write_table(df, str(tmp_path / "out"), "csv")
     assert t.read_csv(spark, str(tmp_path / "out"), schema.FORECAST).exceptAll(df).isEmpty()
+
+
+def test_schedule_pages_are_searched_once_and_spread(spark):
+    from fieldbook.catalog import base
+
+    page = '<tr><td class="dateRange__col">Jan 2 - 5</td><td><a href="?tournamentId=7" class="eventAndLocation__tournamentLink">A &amp; B</a><p class="eventAndLocation__tournamentLocation">OH</p></td></tr>'
+    df = spark.createDataFrame([(1, "u", page), (2, "u", page.replace("dateRange__col", "x")), (3, "u", page + page)], "page_id long, url string, html string")
+    rows = p.extract_schedule(df)
+    assert sorted(r["page_id"] for r in rows.collect()) == [1, 3, 3]
+    assert {tuple(r)[1:] for r in rows.collect()} == {("7", "OH", "A & B", "Jan 2 - 5")}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "tournamentLocation" in line]
+    assert base.spread(spark.range(95).coalesce(1), "id", 10).rdd.getNumPartitions() == 10
