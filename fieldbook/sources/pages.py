@@ -82,8 +82,9 @@ def extract_schedule(
     place_class: str = "eventAndLocation__tournamentLocation",
     name_class: str = "eventAndLocation__tournamentLink",
     date_classes: Sequence[str] = ("dateAndTickets__col", "dateRange__col"),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(page_id, tournament_id, location, Name, Date) of every row that has all of them."""
+    """(page_id, tournament_id, location, Name, Date) of every row that has all of them, and the columns of the page named by ``keep``."""
     patterns = [
         rf"(?is)<a\b[^>]*\bhref\s*=\s*[\"'][^\"']*{id_pattern}",
         _class_pattern(r"(?:div|span|p)", place_class),
@@ -94,10 +95,10 @@ def extract_schedule(
     # Each step reads the one before as a value, and a filter stays behind the explode: no pattern is searched twice in a row.
     found = F.transform(_outer(F.col("html"), "tr"), lambda row: F.array(*[F.regexp_extract(row, p, 1) for p in patterns]))
     texts = F.transform(found, lambda cells: cell_texts(F.transform(cells, lambda c: F.when(c != "", c))))
-    rows = pages.select("page_id", F.explode(F.arrays_zip(found.alias("found"), texts.alias("texts"))).alias("row"))
+    rows = pages.select("page_id", *keep, F.explode(F.arrays_zip(found.alias("found"), texts.alias("texts"))).alias("row"))
     text = [F.col("row.texts")[i] for i in range(len(patterns))]
     named = rows.select(
-        "page_id", F.nullif(F.col("row.found")[0], F.lit("")).alias("tournament_id"), text[1].alias("location"),
+        "page_id", *keep, F.nullif(F.col("row.found")[0], F.lit("")).alias("tournament_id"), text[1].alias("location"),
         F.coalesce(text[2], text[3]).alias("Name"), F.coalesce(*text[4:]).alias("Date"),
     )
     return named.na.drop(subset=["tournament_id", "location", "Name", "Date"])

@@ -122,3 +122,16 @@ def test_schedule_pages_are_searched_once_and_spread(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "tournamentLocation" in line]
     assert base.spread(spark.range(95).coalesce(1), "id", 10).rdd.getNumPartitions() == 10
+
+
+def test_ingest_reads_board_pages_once(spark):
+    boards = spark.createDataFrame([(1, "/leaderboard?tournamentId=7", BOARD), (2, "/leaderboard", BOARD)], "page_id long, url string, html string")
+    schedule = spark.createDataFrame(
+        [(5, "/season/2024", '<tr><td class="dateRange__col">Jan 2 - 5</td><td><a href="?tournamentId=7" class="eventAndLocation__tournamentLink">A</a><p class="eventAndLocation__tournamentLocation">OH</p></td></tr>')],
+        "page_id long, url string, html string",
+    )
+    raw = plan.ingest(schedule, boards, 2025)
+    got = raw.collect()
+    assert {(r["Tournament"], r["Location"], r["Year"], r["Date"]) for r in got} == {("A", "OH", 2024, "Jan 2 - 5")}
+    assert sorted(r["Player"] for r in got) == ["B", "C", "José A"]
+    assert raw._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
